@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import linededup, simhash
 
 QUERIES = {
+    "op5_line_dedup": linededup.query,
     "op7_simhash_near_dedup": simhash.query,
 }
 
-ORACLE: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express.
+ORACLE: dict[str, str] = {
+    "op5_line_dedup": linededup.ORACLE,
+}
