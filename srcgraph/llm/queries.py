@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import linededup, simhash
+from . import decontam, linededup, simhash
 
 QUERIES = {
+    "op2_decontamination": decontam.query,
     "op5_line_dedup": linededup.query,
     "op7_simhash_near_dedup": simhash.query,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {
+    "op2_decontamination": decontam.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
 }
