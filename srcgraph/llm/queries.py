@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, simhash
+from . import decontam, linededup, simhash, tokenout
 
 QUERIES = {
     "op2_decontamination": decontam.query,
     "op5_line_dedup": linededup.query,
     "op7_simhash_near_dedup": simhash.query,
+    "op8_token_ids": tokenout.query,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
