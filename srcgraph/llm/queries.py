@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, simhash, tokenout
+from . import decontam, linededup, quality, simhash, tokenout
 
 QUERIES = {
     "op2_decontamination": decontam.query,
+    "op3_quality_rules": quality.query,
     "op5_line_dedup": linededup.query,
     "op7_simhash_near_dedup": simhash.query,
     "op8_token_ids": tokenout.query,
