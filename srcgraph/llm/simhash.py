@@ -21,7 +21,7 @@ from . import common as C
 RADIUS = 4
 #: Fingerprints in a tile, at most; a tile pair is one task's memory (16 bytes each).
 TILE = 1 << 18
-TILE_LEAST = 4096
+TILE_LEAST = 1024
 SEED = 42
 
 
@@ -100,7 +100,7 @@ def tile_links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
     counts = {r["p"]: r["n"] for r in classes.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     if not counts:
         return spark.createDataFrame([], "u long, v long")
-    size = min(tile, max(TILE_LEAST, -(-sum(counts.values()) // 48)))
+    size = min(tile, max(TILE_LEAST, -(-sum(counts.values()) // 16)))
     tiles = F.array(*[F.lit(max(1, -(-counts.get(p, 0) // size))) for p in range(65)])
     here = F.array(*[F.lit(p in counts) for p in range(65)])
     rows = (
