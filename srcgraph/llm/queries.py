@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, quality, simhash, tokenout
+from . import decontam, license, linededup, quality, simhash, tokenout
 
 QUERIES = {
     "op2_decontamination": decontam.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_line_dedup": linededup.query,
     "op7_simhash_near_dedup": simhash.query,
     "op8_token_ids": tokenout.query,
+    "op9_license_scan": license.query,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
