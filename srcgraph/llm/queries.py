@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, license, linededup, quality, simhash, tokenout
+from . import decontam, license, linededup, puquality, quality, simhash, tokenout
 
 QUERIES = {
     "op2_decontamination": decontam.query,
     "op3_quality_rules": quality.query,
+    "op4_quality_classifier": puquality.query,
     "op5_line_dedup": linededup.query,
     "op7_simhash_near_dedup": simhash.query,
     "op8_token_ids": tokenout.query,
