@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, license, linededup, puquality, quality, simhash, tokenout
+from . import decontam, license, linededup, puquality, quality, simhash, tokenout, toxicity
 
 QUERIES = {
     "op2_decontamination": decontam.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash.query,
     "op8_token_ids": tokenout.query,
     "op9_license_scan": license.query,
+    "op10_toxicity": toxicity.query,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
