@@ -90,8 +90,11 @@ class Voters:
 
     @staticmethod
     def votes(strength: np.ndarray) -> np.ndarray:
-        """A bit a voter: each set hit, two hits in all, two kinds of hits, one word in a hundred."""
-        on = np.column_stack([strength[:, :9] > 0, strength[:, 10] >= 2, strength[:, 9] >= 2, strength[:, 11] >= 0.01])
+        """A bit a voter: a set hit by one word in 250 at least, two hits in all and two kinds of hits at that rate, one word in a hundred."""
+        each = strength[:, 11] / np.maximum(strength[:, 10], 1)  # share of one hit
+        dense = (strength[:, :9] > 0) & (strength[:, :9] * each[:, None] >= 0.004)
+        some = strength[:, 11] >= 0.004
+        on = np.column_stack([dense, (strength[:, 10] >= 2) & some, (dense.sum(1) >= 2) & some, strength[:, 11] >= 0.01])
         return on @ (1 << np.arange(VOTERS))
 
 
@@ -192,7 +195,7 @@ def distinct_hashes(docs: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]
     return {r.doc_id: (np.frombuffer(r.words, np.uint64), np.frombuffer(r.stems, np.uint64)) for r in found.toLocalIterator()}
 
 
-def mine(toxic: list[np.ndarray], clean: list[np.ndarray], most: int = 400) -> np.ndarray:
+def mine(toxic: list[np.ndarray], clean: list[np.ndarray], most: int = 100) -> np.ndarray:
     """Hashes far commoner in toxic documents than in clean ones; equal documents count once."""
     once = lambda docs: list({d.tobytes(): d for d in docs}.values())
     toxic, clean = once(toxic), once(clean)
@@ -203,7 +206,7 @@ def mine(toxic: list[np.ndarray], clean: list[np.ndarray], most: int = 400) -> n
     at = np.minimum(np.searchsorted(other, h), len(other) - 1)
     n0 = np.where(other[at] == h, n0[at], 0)
     odds = ((n1 + 0.1) / len(toxic)) / ((n0 + 0.5) / len(clean))
-    keep = (n1 >= max(3, 0.004 * len(toxic))) & (odds >= 8) & (h != 0)
+    keep = (n1 >= max(3, 0.01 * len(toxic))) & (odds >= 20) & (h != 0)
     order = np.argsort(-np.log(odds) * np.sqrt(n1) * keep, kind="stable")[:most]
     return np.sort(h[order[keep[order]]])
 
