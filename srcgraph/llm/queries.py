@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, license, linededup, puquality, quality, simhash, tokenout, toxicity
+from . import decontam, license, linededup, packing, puquality, quality, simhash, tokenout, toxicity
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
     "op2_decontamination": decontam.query,
     "op3_quality_rules": quality.query,
     "op4_quality_classifier": puquality.query,
