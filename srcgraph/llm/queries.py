@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, license, linededup, packing, puquality, quality, simhash, tokenout, toxicity
+from . import decontam, license, linededup, packing, passages, puquality, quality, simhash, tokenout, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.query,
     "op4_quality_classifier": puquality.query,
     "op5_line_dedup": linededup.query,
+    "op6_substring_dedup": passages.query,
     "op7_simhash_near_dedup": simhash.query,
     "op8_token_ids": tokenout.query,
     "op9_license_scan": license.query,
