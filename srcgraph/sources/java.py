@@ -22,7 +22,7 @@ BINARY = {
     "=": 1, "+=": 1, "-=": 1, "*=": 1, "/=": 1, "&=": 1, "|=": 1, "^=": 1, "%=": 1, "<<=": 1, "?": 2, "||": 3, "&&": 4, "|": 5, "^": 6, "&": 7,
     "==": 8, "!=": 8, "<": 9, ">": 9, "<=": 9, ">=": 9, "instanceof": 9, "<<": 10, "+": 11, "-": 11, "*": 12, "/": 12, "%": 12,
 }
-ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "s": " ", "0": "\0", '"': '"', "'": "'", "\\": "\\"}
+ESCAPES = {"\n": "", "n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "s": " ", "0": "\0", '"': '"', "'": "'", "\\": "\\"}
 
 
 class ParseError(Exception):

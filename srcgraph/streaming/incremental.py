@@ -16,6 +16,7 @@ from .. import schema
 from ..functions import scalars as S
 from ..operators import graph as G
 from ..operators import mutate as M
+from ..operators.staging import staged
 
 #: Change type -> action.
 ACTIONS = {"SOURCE_ADDED": "add", "SOURCE_MODIFIED": "modify", "SOURCE_DELETED": "delete", "CASCADE_UPDATE": "cascade"}
@@ -80,24 +81,22 @@ def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, sources: Dat
     ends allowed. Read again are the files added or modified, and, one hop, those that call into
     a modified or deleted one.
     """
-    last = dispatch(latest(changes))
+    hold = lambda tables, name: {k: staged(t, f"{name}-{k}") for k, t in tables.items()}
+    last = staged(dispatch(latest(changes)).select("projectFilePath", "action"), "changes")
     moved = last.where("action in ('modify', 'delete', 'add')").select("projectFilePath")
     asked = last.where("action = 'cascade'").select("projectFilePath")
     dependents = G.callers(tables["edges"], tables["functions"], moved).select("projectFilePath").unionByName(asked).distinct().join(moved, "projectFilePath", "left_anti")
-    old = delete_keeping_callers(tables, moved)
-    affected = last.where("action in ('add', 'modify')").select("projectFilePath").unionByName(dependents).distinct()
-    fresh = build(sources.join(affected, "projectFilePath", "left_semi"))
+    affected = staged(last.where("action in ('add', 'modify')").select("projectFilePath").unionByName(dependents).distinct(), "affected")
+    old = hold(delete_keeping_callers(tables, moved), "old")
+    fresh = hold(build(sources.join(affected, "projectFilePath", "left_semi")), "fresh")
     # only files that could be read again lose their outgoing calls
     read = fresh["units"].select("projectFilePath").distinct().join(affected, "projectFilePath", "left_semi")
-    out = dict(old)
-    for name in ("packages", "units", "functions"):
-        out[name] = M.upsert(old[name], fresh[name])
-    out["endpoints"] = M.insert_missing(old["endpoints"], fresh["endpoints"], ["id"])
+    out = {name: staged(M.upsert(old[name], fresh[name]), name) for name in ("packages", "units", "functions")}
+    out["endpoints"] = staged(M.insert_missing(old["endpoints"], fresh["endpoints"], ["id"]), "endpoints")
     structure = fresh["edges"].where(F.col("relationshipType") != schema.CALLS)
-    new_calls = G.edges_of(fresh["edges"], schema.CALLS)
     e = M.delete_outgoing(old["edges"], out["functions"], read)
-    e = M.append_calls(M.insert_structure(e, structure), new_calls)
-    out["edges"] = M.with_matches(e, out["endpoints"])
+    e = M.append_calls(M.insert_structure(e, structure), G.edges_of(fresh["edges"], schema.CALLS))
+    out["edges"] = staged(M.with_matches(staged(e, "edges"), out["endpoints"]), "edges")
     out["functions"] = M.add_placeholders(out["functions"], out["edges"])
     return out
 
