@@ -147,10 +147,31 @@ def write_file(path: str, rows, width: int) -> dict:
     return {"n_docs": len(bounds) - 1, "n_ids": bounds[-1]}
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def plain_words(spec: str) -> bool:
+    """Whether a lower-case word in normal form, of letters alone, goes to the merges as its bytes."""
+    rules = json.loads(spec)
+    steps = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+    cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"]:
+        return False
+    letters = cuts[0]["invert"] and cuts[0]["behavior"] == "Removed" and "[\\p{L}]+" in cuts[0]["pattern"].get("Regex", "").split("|")
+    return bool(letters) and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+
+
 def encoder(spec: str, end_id: int, width: int, by_word: bool):
     """text -> id bytes. by_word: white-space separated pieces are encoded alone and remembered, which gives the
-    same ids only for a tokenizer that drops white space before it merges; others encode whole texts."""
+    same ids only for a tokenizer that drops white space before it merges; others encode whole texts. Words that
+    no other step of the tokenizer changes go to the library's merges at once."""
     import os
+    from array import array
+    from unicodedata import is_normalized
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -161,6 +182,7 @@ def encoder(spec: str, end_id: int, width: int, by_word: bool):
         held.clear()
         held[key] = (Tokenizer.from_str(spec), {})
     tokenizer, known = held[key]
+    direct, merge, characters, code = plain_words(spec), tokenizer.model.tokenize, byte_characters(), "H" if width == 2 else "I"
     stops = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)")
     kind, end = f"<u{width}", np.array([end_id], f"<u{width}").tobytes()
 
@@ -184,6 +206,15 @@ def encoder(spec: str, end_id: int, width: int, by_word: bool):
         for p in odd:
             known[p] = np.array(tokenizer.encode(p.decode(), add_special_tokens=False).ids, kind).tobytes()
         new = [p for p in new if b"<|" not in p] if odd else new
+        if direct:
+            rest = []
+            for p in new:
+                w = p.decode()
+                if not w.isalpha() or not w.isascii() and (w != w.lower() or not is_normalized("NFC", w)) or w.isascii() and not w.islower():
+                    rest.append(p)
+                    continue
+                known[p] = array(code, [t.id for t in merge(w if w.isascii() else p.decode("latin-1").translate(characters))]).tobytes()
+            new = rest
         for i in range(0, len(new), 2048):
             part = new[i : i + 2048]
             e = tokenizer.encode([p.decode() for p in part], is_pretokenized=True, add_special_tokens=False)
