@@ -1,12 +1,14 @@
-"""The graph on disk: versioned Parquet folders and a pointer to the current one.
+"""The graph on disk: Parquet versions and a list of those that count.
 
-A version is written whole beside the last and becomes current when its name is added to the pointer
-table, so readers see all of a batch or nothing of it. Edges are partitioned by type.
+A version is a base (whole tables) or a delta (ids that go and rows that come), so a batch writes in its own size. A version
+counts once its name is in the list, so readers see all of a batch or nothing of it. Reading joins the rows of the last
+base and the deltas after it with the last version that dropped their id: one join, however many deltas. compact() writes a new base.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,31 +21,64 @@ class GraphStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def version(self) -> str | None:
+    def versions(self) -> list:
+        """(n, kind, name) of the last base and the deltas after it."""
         try:
-            last = self.spark.read.schema("n long, version string").json(f"{self.root}/versions").orderBy(F.desc("n")).first()
+            rows = self.spark.read.schema("n long, kind string, name string").json(f"{self.root}/versions").orderBy("n").collect()
         except AnalysisException:
-            return None
-        return last and last.version
+            return []
+        last = max(i for i, r in enumerate(rows) if r.kind == "base")
+        return rows[last:]
+
+    def _publish(self, n: int, kind: str, name: str) -> None:
+        row = self.spark.range(1).select(F.lit(n).alias("n"), F.lit(kind).alias("kind"), F.lit(name).alias("name"))
+        row.coalesce(1).write.mode("append").json(f"{self.root}/versions")
+
+    def _rows(self, rows: DataFrame, table: str, at: str) -> None:
+        out = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.TABLES[table]]).write
+        (out.partitionBy("relationshipType") if table == "edges" else out).parquet(f"{self.root}/{at}/{table}")
 
     def read(self) -> dict[str, DataFrame]:
         """The current tables; empty ones before the first write."""
-        at = self.version()
-        if at is None:
+        versions = self.versions()
+        if not versions:
             return {k: self.spark.createDataFrame([], s) for k, s in schema.TABLES.items()}
-        return {k: self.spark.read.schema(s).parquet(f"{self.root}/{at}/{k}").select(*s.names) for k, s in schema.TABLES.items()}
+        return {k: self._table(k, s, versions) for k, s in schema.TABLES.items()}
+
+    def _table(self, name: str, struct, versions: list) -> DataFrame:
+        of = lambda v: self.spark.read.schema(struct).parquet(f"{self.root}/{v.name}/{name}").select(*struct.names)
+        if len(versions) == 1:
+            return of(versions[0])
+        rows = reduce(DataFrame.unionByName, [of(v).withColumn("__n", F.lit(v.n)) for v in versions])
+        gone = [self.spark.read.schema("id string").parquet(f"{self.root}/{v.name}/{name}-gone").withColumn("__gone", F.lit(v.n)) for v in versions[1:]]
+        last = reduce(DataFrame.unionByName, gone).groupBy("id").agg(F.max("__gone").alias("__gone"))
+        return rows.join(last, "id", "left").where("__gone is null or __n >= __gone").select(*struct.names)
 
     def write(self, tables: dict[str, DataFrame]) -> str:
-        """Write a new version and make it current. Parts may be read from the current one."""
-        at = f"v-{uuid.uuid4().hex}"
-        for name, s in schema.TABLES.items():
-            rows = tables[name].select(*[F.col(f.name).cast(f.dataType) for f in s])
-            writer = rows.repartition("relationshipType").write.partitionBy("relationshipType") if name == "edges" else rows.write
-            writer.parquet(f"{self.root}/{at}/{name}")
-        n = self.spark.read.schema("n long").json(f"{self.root}/versions").count() if self.version() else 0
-        self.spark.range(1).select(F.lit(n + 1).alias("n"), F.lit(at).alias("version")).coalesce(1).write.mode("append").json(f"{self.root}/versions")
+        """A new base. Parts may be read from the versions before."""
+        at = f"base-{uuid.uuid4().hex}"
+        for name in schema.TABLES:
+            self._rows(tables[name], name, at)
+        versions = self.versions()
+        self._publish(versions[-1].n + 1 if versions else 1, "base", at)
         return at
 
+    def commit(self, deltas: dict[str, tuple[DataFrame, DataFrame]], compact_after: int = 20) -> str:
+        """A delta; after many of them, a new base."""
+        versions = self.versions()
+        if not versions:
+            return self.write({k: deltas[k][1] for k in schema.TABLES})
+        at = f"delta-{uuid.uuid4().hex}"
+        for name in schema.TABLES:
+            gone, rows = deltas[name]
+            gone.select(F.col("id").cast("string")).write.parquet(f"{self.root}/{at}/{name}-gone")
+            self._rows(rows, name, at)
+        self._publish(versions[-1].n + 1, "delta", at)
+        return self.compact() if len(versions) >= compact_after else at
+
+    def compact(self) -> str:
+        return self.write(self.read())
+
     def truncate(self) -> int:
         """Empty all tables; returns the nodes left (none)."""
         self.write({k: self.spark.createDataFrame([], s) for k, s in schema.TABLES.items()})

@@ -74,31 +74,74 @@ def delete_keeping_callers(tables: dict[str, DataFrame], files: DataFrame) -> di
     return out | {"functions": others.unionByName(ghost.select(*[c for c in f.columns]))}
 
 
-def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, sources: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """The tables after a batch of changes.
+#: What a batch does to one table: ids that go (column id) and rows that come.
+Delta = tuple[DataFrame, DataFrame]
+
+
+def plan_changes(tables: dict[str, DataFrame], changes: DataFrame, sources: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, Delta]:
+    """What a batch of changes does to each table, in the size of the batch: big tables are only scanned, against small sides.
 
     sources: current files (projectFilePath, content, git columns); build: sources -> node and edge tables with unresolved
     ends allowed. Read again are the files added or modified, and, one hop, those that call into
-    a modified or deleted one.
+    a modified or deleted one. Dependents are found before anything goes.
     """
-    hold = lambda tables, name: {k: staged(t, f"{name}-{k}") for k, t in tables.items()}
+    edges, functions = tables["edges"], tables["functions"]
+    ids = lambda t: t.select("id").distinct()
     last = staged(dispatch(latest(changes)).select("projectFilePath", "action"), "changes")
     moved = last.where("action in ('modify', 'delete', 'add')").select("projectFilePath")
     asked = last.where("action = 'cascade'").select("projectFilePath")
-    dependents = G.callers(tables["edges"], tables["functions"], moved).select("projectFilePath").unionByName(asked).distinct().join(moved, "projectFilePath", "left_anti")
+    dependents = G.callers(edges, functions, moved).select("projectFilePath").unionByName(asked).distinct().join(moved, "projectFilePath", "left_anti")
     affected = staged(last.where("action in ('add', 'modify')").select("projectFilePath").unionByName(dependents).distinct(), "affected")
-    old = hold(delete_keeping_callers(tables, moved), "old")
-    fresh = hold(build(sources.join(affected, "projectFilePath", "left_semi")), "fresh")
+    fresh = {k: staged(t, f"fresh-{k}") for k, t in build(sources.join(affected, "projectFilePath", "left_semi")).items()}
+
     # only files that could be read again lose their outgoing calls
-    read = fresh["units"].select("projectFilePath").distinct().join(affected, "projectFilePath", "left_semi")
-    out = {name: staged(M.upsert(old[name], fresh[name]), name) for name in ("packages", "units", "functions")}
-    out["endpoints"] = staged(M.insert_missing(old["endpoints"], fresh["endpoints"], ["id"]), "endpoints")
-    structure = fresh["edges"].where(F.col("relationshipType") != schema.CALLS)
-    e = M.delete_outgoing(old["edges"], out["functions"], read)
-    e = M.append_calls(M.insert_structure(e, structure), G.edges_of(fresh["edges"], schema.CALLS))
-    out["edges"] = staged(M.with_matches(staged(e, "edges"), out["endpoints"]), "edges")
-    out["functions"] = M.add_placeholders(out["functions"], out["edges"])
-    return out
+    read = fresh["units"].select("projectFilePath").join(affected, "projectFilePath", "left_semi").unionByName(moved).distinct()
+    callers = staged(ids(functions.join(read, "projectFilePath", "left_semi")), "callers")
+    gone = staged(M.nodes_of_files(tables, moved), "gone")
+    calls = G.edges_of(edges, schema.CALLS)
+    cut = calls.join(callers.withColumnRenamed("id", "fromNodeId"), "fromNodeId", "left_semi")
+    into = calls.join(gone.withColumnRenamed("id", "toNodeId"), "toNodeId", "left_semi").join(callers.withColumnRenamed("id", "fromNodeId"), "fromNodeId", "left_anti")
+    held = staged(into.select(F.col("toNodeId").alias("id")).distinct(), "held")  # still called by other files
+    lost = gone.join(held, "id", "left_anti")
+    at = lambda end: edges.join(lost.withColumnRenamed("id", end), end, "left_semi").select("id")
+    gone_edges = staged(cut.select("id").unionByName(at("fromNodeId")).unionByName(at("toNodeId")).distinct(), "gone-edges")
+    left = edges.join(gone_edges, "id", "left_anti")
+
+    def missing(new: DataFrame, key: list[str]) -> DataFrame:
+        """Rows of new, one a key, whose key no edge that is left has."""
+        known = left.select(*key).join(new.select(*key).distinct(), key, "left_semi")
+        return new.join(known.distinct(), key, "left_anti").dropDuplicates(key)
+
+    structure, made = fresh["edges"].where(F.col("relationshipType") != schema.CALLS), G.edges_of(fresh["edges"], schema.CALLS)
+    old_points = tables["endpoints"].join(gone, "id", "left_anti")
+    points = staged(fresh["endpoints"].dropDuplicates(["id"]).join(ids(old_points), "id", "left_anti"), "points")
+    every = old_points.select("id", "direction", "matchIdentity").unionByName(points.select("id", "direction", "matchIdentity"))
+    near = every.join(points.select("matchIdentity").distinct(), "matchIdentity", "left_semi")
+    matches = M.edge_rows(G.endpoint_matches(near).withColumn("relationshipType", F.lit(schema.MATCHES)))
+    new_edges = staged(missing(structure.unionByName(matches), G.EDGE_KEY).select(*schema.EDGES.names).unionByName(missing(made, ["id"]).select(*schema.EDGES.names)), "new-edges")
+
+    own = ids(fresh["functions"])
+    called = G.call_ids(new_edges).join(own, "id", "left_anti")
+    unknown = called.join(ids(functions.join(gone, "id", "left_anti")), "id", "left_anti")
+    ghosts = G.placeholder_rows(held.join(own, "id", "left_anti").unionByName(unknown).distinct())
+    new_functions = fresh["functions"].dropDuplicates(["id"]).unionByName(ghosts.select(*schema.FUNCTIONS.names))
+    fresh_units = fresh["units"].dropDuplicates(["id"])
+    return {
+        "packages": (ids(fresh["packages"]), fresh["packages"].dropDuplicates(["id"])),
+        "units": (gone.unionByName(ids(fresh_units)).distinct(), fresh_units),
+        "functions": (gone.unionByName(ids(new_functions)).distinct(), new_functions),
+        "endpoints": (gone, points),
+        "edges": (gone_edges, new_edges),
+    }
+
+
+def merge(tables: dict[str, DataFrame], deltas: dict[str, Delta]) -> dict[str, DataFrame]:
+    """The tables after a batch."""
+    return {k: t.join(deltas[k][0], "id", "left_anti").select(*t.columns).unionByName(deltas[k][1].select(*t.columns)) for k, t in tables.items()}
+
+
+def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, sources: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    return merge(tables, plan_changes(tables, changes, sources, build))
 
 
 def stream_changes(spark, source: str, handle: Callable[[DataFrame], None], checkpoint: str):

@@ -57,7 +57,7 @@ def changes(spark, *events):
 def store(spark, tmp_path):
     s = GraphStore(spark, str(tmp_path / "graph"))
     build = builder(spark, FILES)
-    s.write(I.apply_changes(s.read(), changes(spark, *[("SOURCE_ADDED", p) for p in FILES]), sources(spark, FILES), build))
+    s.commit(I.plan_changes(s.read(), changes(spark, *[("SOURCE_ADDED", p) for p in FILES]), sources(spark, FILES), build))
     return s
 
 
@@ -81,8 +81,13 @@ def test_build_and_dependents(spark, store):
 
 def test_modify_keeps_incoming_calls(spark, store):
     every = FILES | {"s/src/A.java": MORE}
-    after = I.apply_changes(store.read(), changes(spark, ("SOURCE_MODIFIED", "s/src/A.java")), sources(spark, every), builder(spark, every))
-    store.write(after)
+    deltas = I.plan_changes(store.read(), changes(spark, ("SOURCE_MODIFIED", "s/src/A.java")), sources(spark, every), builder(spark, every))
+    merged = I.merge(store.read(), deltas)
+    store.commit(deltas)
+    t = store.read()
+    assert snapshot(merged) == snapshot(t)
+    store.compact()
+    assert snapshot(store.read()) == snapshot(merged)
     t = store.read()
     assert call_pairs(t) == sorted([*ALL, ("p.A.f()", "p.A.n()")])
     assert {r.id for r in t["functions"].collect()} == {"p.A.f()", "p.A.n()", "p.B.g(p.A)", "p.C.h()", "p.C.k()", "p.D.alone()"}
@@ -92,12 +97,12 @@ def test_delete_leaves_placeholders_and_readding_promotes(spark, store):
     left = {k: v for k, v in FILES.items() if k != "s/src/A.java"}
     # callers of a deleted type are read with its symbols still listed
     build = builder(spark, FILES)
-    store.write(I.apply_changes(store.read(), changes(spark, ("SOURCE_DELETED", "s/src/A.java")), sources(spark, left), build))
+    store.commit(I.plan_changes(store.read(), changes(spark, ("SOURCE_DELETED", "s/src/A.java")), sources(spark, left), build))
     t = store.read()
     assert call_pairs(t) == ALL
     assert [(r.id, r.name, r.signature) for r in t["functions"].where("isPlaceholder").collect()] == [("p.A.f()", "f", "f()")]
     assert t["units"].where("id = 'p.A'").count() == 0 and t["packages"].count() == 1
-    store.write(I.apply_changes(t, changes(spark, ("SOURCE_ADDED", "s/src/A.java")), sources(spark, FILES), builder(spark, FILES)))
+    store.commit(I.plan_changes(t, changes(spark, ("SOURCE_ADDED", "s/src/A.java")), sources(spark, FILES), builder(spark, FILES)))
     t = store.read()
     assert call_pairs(t) == ALL and t["functions"].where("isPlaceholder").count() == 0
 
@@ -105,15 +110,15 @@ def test_delete_leaves_placeholders_and_readding_promotes(spark, store):
 def test_twice_is_once(spark, store):
     again = changes(spark, *[("SOURCE_ADDED", p) for p in FILES])
     before = snapshot(store.read())
-    store.write(I.apply_changes(store.read(), again, sources(spark, FILES), builder(spark, FILES)))
+    store.commit(I.plan_changes(store.read(), again, sources(spark, FILES), builder(spark, FILES)))
     assert snapshot(store.read()) == before
 
 
 def test_incremental_equals_rebuild(spark, store, tmp_path):
     every = FILES | {"s/src/A.java": MORE}
-    store.write(I.apply_changes(store.read(), changes(spark, ("SOURCE_MODIFIED", "s/src/A.java")), sources(spark, every), builder(spark, every)))
+    store.commit(I.plan_changes(store.read(), changes(spark, ("SOURCE_MODIFIED", "s/src/A.java")), sources(spark, every), builder(spark, every)))
     other = GraphStore(spark, str(tmp_path / "other"))
-    other.write(I.apply_changes(other.read(), changes(spark, *[("SOURCE_ADDED", p) for p in every]), sources(spark, every), builder(spark, every)))
+    other.commit(I.plan_changes(other.read(), changes(spark, *[("SOURCE_ADDED", p) for p in every]), sources(spark, every), builder(spark, every)))
     assert snapshot(store.read()) == snapshot(other.read())
 
 
