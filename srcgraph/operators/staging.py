@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +23,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def together(tasks: list[Callable]) -> list:
+    """Run small jobs side by side: each is mostly waiting for the scheduler."""
+    with ThreadPoolExecutor(max(1, len(tasks))) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
+
+
+def all_staged(tables: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:
+    done = together([lambda k=k, t=t: staged(t, f"{name}-{k}") for k, t in tables.items()])
+    return dict(zip(tables, done))

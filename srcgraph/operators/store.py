@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .. import schema
+from .staging import together
 
 
 class GraphStore:
@@ -57,8 +58,7 @@ class GraphStore:
     def write(self, tables: dict[str, DataFrame]) -> str:
         """A new base. Parts may be read from the versions before."""
         at = f"base-{uuid.uuid4().hex}"
-        for name in schema.TABLES:
-            self._rows(tables[name], name, at)
+        together([lambda k=k: self._rows(tables[k], k, at) for k in schema.TABLES])
         versions = self.versions()
         self._publish(versions[-1].n + 1 if versions else 1, "base", at)
         return at
@@ -69,10 +69,8 @@ class GraphStore:
         if not versions:
             return self.write({k: deltas[k][1] for k in schema.TABLES})
         at = f"delta-{uuid.uuid4().hex}"
-        for name in schema.TABLES:
-            gone, rows = deltas[name]
-            gone.select(F.col("id").cast("string")).write.parquet(f"{self.root}/{at}/{name}-gone")
-            self._rows(rows, name, at)
+        drop = lambda k: deltas[k][0].select(F.col("id").cast("string")).write.parquet(f"{self.root}/{at}/{k}-gone")
+        together([lambda k=k: drop(k) for k in schema.TABLES] + [lambda k=k: self._rows(deltas[k][1], k, at) for k in schema.TABLES])
         self._publish(versions[-1].n + 1, "delta", at)
         return self.compact() if len(versions) >= compact_after else at
 

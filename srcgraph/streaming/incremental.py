@@ -16,7 +16,7 @@ from .. import schema
 from ..functions import scalars as S
 from ..operators import graph as G
 from ..operators import mutate as M
-from ..operators.staging import staged
+from ..operators.staging import all_staged, staged
 
 #: Change type -> action.
 ACTIONS = {"SOURCE_ADDED": "add", "SOURCE_MODIFIED": "modify", "SOURCE_DELETED": "delete", "CASCADE_UPDATE": "cascade"}
@@ -92,12 +92,12 @@ def plan_changes(tables: dict[str, DataFrame], changes: DataFrame, sources: Data
     asked = last.where("action = 'cascade'").select("projectFilePath")
     dependents = G.callers(edges, functions, moved).select("projectFilePath").unionByName(asked).distinct().join(moved, "projectFilePath", "left_anti")
     affected = staged(last.where("action in ('add', 'modify')").select("projectFilePath").unionByName(dependents).distinct(), "affected")
-    fresh = {k: staged(t, f"fresh-{k}") for k, t in build(sources.join(affected, "projectFilePath", "left_semi")).items()}
+    fresh = all_staged(build(sources.join(affected, "projectFilePath", "left_semi")), "fresh")
 
     # only files that could be read again lose their outgoing calls
     read = fresh["units"].select("projectFilePath").join(affected, "projectFilePath", "left_semi").unionByName(moved).distinct()
-    callers = staged(ids(functions.join(read, "projectFilePath", "left_semi")), "callers")
-    gone = staged(M.nodes_of_files(tables, moved), "gone")
+    both = all_staged({"callers": ids(functions.join(read, "projectFilePath", "left_semi")), "gone": M.nodes_of_files(tables, moved)}, "batch")
+    callers, gone = both["callers"], both["gone"]
     calls = G.edges_of(edges, schema.CALLS)
     cut = calls.join(callers.withColumnRenamed("id", "fromNodeId"), "fromNodeId", "left_semi")
     into = calls.join(gone.withColumnRenamed("id", "toNodeId"), "toNodeId", "left_semi").join(callers.withColumnRenamed("id", "fromNodeId"), "fromNodeId", "left_anti")
