@@ -129,7 +129,8 @@ def call_targets(typed: DataFrame, method: DataFrame, symbols: DataFrame | None
     own = method.where("not m.isConstructor").select(F.col("unit").alias("ancestor"), F.col("m.name").alias("name"), F.col("params"), F.col("id").alias("targetId"), A.lookup(F.col("known"), F.col("m.returnType")).alias("returns"), F.lit(True).alias("fromSource"))
     up = ancestors(typed)
     if symbols is not None:
-        more = symbols.select(F.col("owner").alias("ancestor"), "name", "params", S.qualified_name("owner", "name", "params").alias("targetId"), F.col("returnType").alias("returns"), F.lit(False).alias("fromSource"))
+        more = symbols.select(F.col("owner").alias("ancestor"), "name", "params", S.qualified_name("owner", "name", "params").alias("targetId"), F.col("returnType").alias("returns"), F.col("fromSource") if "fromSource" in symbols.columns else F.lit(False).alias("fromSource"))
+        more = more.dropDuplicates(["targetId"])
         own = own.unionByName(more.join(own.select("targetId"), "targetId", "left_anti"))
         outside = symbols.select(F.col("owner")).distinct().join(up.select("owner").distinct(), "owner", "left_anti")
         up = up.unionByName(outside.select("owner", F.col("owner").alias("ancestor"), F.lit(0).alias("depth")))
@@ -154,9 +155,9 @@ def call_targets(typed: DataFrame, method: DataFrame, symbols: DataFrame | None
     return out
 
 
-def calls(targets: DataFrame, whitelist=WHITELIST) -> DataFrame:
+def calls(targets: DataFrame, whitelist=WHITELIST, filters=()) -> DataFrame:
     """CALLS edges, a row a call site that the filters keep; a site's number makes its id unique."""
-    kept = targets.where(S.all_of([S.keeps_call("name"), S.in_whitelist("owner", "fromSource", list(whitelist))]))
+    kept = targets.where(S.all_of([S.keeps_call("name"), S.in_whitelist("owner", "fromSource", list(whitelist)), *[f(targets) for f in filters]]))
     rows = kept.select(F.col("callerId").alias("fromNodeId"), F.col("targetId").alias("toNodeId"), F.lit(schema.CALLS).alias("relationshipType"), F.col("line").alias("lineNumber"), F.lit("direct").alias("callType"), F.lit("java").alias("language"), "at")
     return rows.withColumn("id", S.edge_id("fromNodeId", "toNodeId", "relationshipType", "lineNumber", "at")).select(*schema.EDGES.names)
 
@@ -168,7 +169,7 @@ def structure(units: DataFrame, method: DataFrame) -> DataFrame:
     return M.edge_rows(a.unionByName(b).distinct())
 
 
-def build(facts: DataFrame, rules: list[dict] = (), symbols: DataFrame | None = None, strict: bool = False, endpoints: bool = True) -> dict[str, DataFrame]:
+def build(facts: DataFrame, rules: list[dict] = (), symbols: DataFrame | None = None, strict: bool = False, endpoints: bool = True, filters=()) -> dict[str, DataFrame]:
     """All five tables from parsed sources; edges may still lead to unknown functions (see mutate.add_placeholders)."""
     from . import endpoints as E
 
@@ -176,7 +177,7 @@ def build(facts: DataFrame, rules: list[dict] = (), symbols: DataFrame | None =
     typed = types(known)
     method = staged(methods(typed), "methods")
     unit, function = units(typed), functions(method)
-    edges = structure(unit, method).unionByName(calls(call_targets(typed, method, symbols)))
+    edges = structure(unit, method).unionByName(calls(call_targets(typed, method, symbols), filters=filters))
     points = staged(E.extract(typed, method, list(rules) if endpoints else [], strict), "endpoints")
     links = E.links(points, function)
     nodes = shaped(E.distinct(points), schema.ENDPOINTS)
