@@ -12,8 +12,6 @@ from . import facts as A
 from . import mutate as M
 from .staging import staged
 
-#: Packages besides the sources whose functions count as call targets.
-WHITELIST = ("com.poseidon.",)
 ROUNDS = 3
 
 
@@ -155,8 +153,11 @@ def call_targets(typed: DataFrame, method: DataFrame, symbols: DataFrame | None
     return out
 
 
-def calls(targets: DataFrame, whitelist=WHITELIST, filters=()) -> DataFrame:
-    """CALLS edges, a row a call site that the filters keep; a site's number makes its id unique."""
+def calls(targets: DataFrame, whitelist=(), filters=()) -> DataFrame:
+    """CALLS edges, a row a call site that the filters keep; a site's number makes its id unique.
+
+    whitelist: prefixes of types outside the sources that count as targets too.
+    """
     kept = targets.where(S.all_of([S.keeps_call("name"), S.in_whitelist("owner", "fromSource", list(whitelist)), *[f(targets) for f in filters]]))
     rows = kept.select(F.col("callerId").alias("fromNodeId"), F.col("targetId").alias("toNodeId"), F.lit(schema.CALLS).alias("relationshipType"), F.col("line").alias("lineNumber"), F.lit("direct").alias("callType"), F.lit("java").alias("language"), "at")
     return rows.withColumn("id", S.edge_id("fromNodeId", "toNodeId", "relationshipType", "lineNumber", "at")).select(*schema.EDGES.names)
@@ -169,7 +170,7 @@ def structure(units: DataFrame, method: DataFrame) -> DataFrame:
     return M.edge_rows(a.unionByName(b).distinct())
 
 
-def build(facts: DataFrame, rules: list[dict] = (), symbols: DataFrame | None = None, strict: bool = False, endpoints: bool = True, filters=()) -> dict[str, DataFrame]:
+def build(facts: DataFrame, rules: list[dict] = (), symbols: DataFrame | None = None, strict: bool = False, endpoints: bool = True, filters=(), whitelist=()) -> dict[str, DataFrame]:
     """All five tables from parsed sources; edges may still lead to unknown functions (see mutate.add_placeholders)."""
     from . import endpoints as E
 
@@ -177,7 +178,7 @@ def build(facts: DataFrame, rules: list[dict] = (), symbols: DataFrame | None =
     typed = types(known)
     method = staged(methods(typed), "methods")
     unit, function = units(typed), functions(method)
-    edges = structure(unit, method).unionByName(calls(call_targets(typed, method, symbols), filters=filters))
+    edges = structure(unit, method).unionByName(calls(call_targets(typed, method, symbols), whitelist, filters))
     points = staged(E.extract(typed, method, list(rules) if endpoints else [], strict), "endpoints")
     links = E.links(points, function)
     nodes = shaped(E.distinct(points), schema.ENDPOINTS)

@@ -129,4 +129,4 @@ CONFIG = {
     "shop/src/main/resources/application-bad.yml": "a: [1\n",
 }
 
-SYMBOLS = [("com.poseidon.Log", "write", ["java.lang.String"], "void")]
+SYMBOLS = [("lib.inner.Log", "write", ["java.lang.String"], "void")]

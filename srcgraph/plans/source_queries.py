@@ -233,13 +233,13 @@ def source_summary(spark):
     return G.graph_summary(g).select("part", F.col("n").cast("int").alias("n"))
 
 
-@query("source_placeholders", "id name signature", ("com.poseidon.Log.write(java.lang.String)", "write", "write(java.lang.String)"))
+@query("source_placeholders", "id name signature", ("lib.inner.Log.write(java.lang.String)", "write", "write(java.lang.String)"))
 def source_placeholders(spark):
     """A call into a listed library becomes an edge to a placeholder."""
-    text = "package a; import com.poseidon.Log; class U { void go(Log l) { l.write(\"x\"); l.flush(); } }"
+    text = "package a; import lib.inner.Log; class U { void go(Log l) { l.write(\"x\"); l.flush(); } }"
     rows = spark.createDataFrame([("a/U.java", None, None, text)], "projectFilePath string, gitRepoUrl string, gitBranch string, content string")
     symbols = spark.createDataFrame(D.SYMBOLS, "owner string, name string, params array<string>, returnType string")
-    g = X.build(A.parse_sources(rows), [], symbols)
+    g = X.build(A.parse_sources(rows), [], symbols, whitelist=("lib.inner.",))
     return M.add_placeholders(g["functions"], g["edges"]).where("isPlaceholder").select("id", "name", "signature")
 
 
