@@ -10,7 +10,7 @@ be zero. A document is rejected if its squared Mahalanobis distance is over the
 
 Groups under LEAST documents share one estimate a language, languages under it one for the rest; if that is
 under LEAST too, only the base rule judges. Shares of a group with a third of all rows are
-pre-aggregated by Spark's partial aggregates; estimates are joined back as a table of one row a group.
+pre-aggregated by Spark's partial aggregates; estimates go back as a table of one row a group (see FEW).
 
 Cases: null or empty text has no words and fails the base rule; null lang or source is a group of its own; repeated rows
 count each; columns of other names are ignored (doc_id, text, lang, source are read); an empty table gives none.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SUPPORT, CUTOFF, LEAST, STEPS = 0.75, 0.9999, 60, 12
+#: Groups whose estimates (a row of about 200 bytes each) are handed to every task, at most; beyond, joins salted SALTS ways.
+FEW, SALTS = 10_000, 16
 #: Scale added to each statistic: word length, symbols, repeated lines, repeated words, capitals.
 FLOORS = (0.08, 0.05, 0.12, 0.12, 0.05)
 STATS = ("x0", "x1", "x2", "x3", "x4")
@@ -129,7 +131,15 @@ def factored(groups: DataFrame) -> DataFrame:
     return out.select("g", "n", *[f"m{i}" for i in range(d)], *[f"w{i}{j}" for i, j in PAIRS], (2 * sum((F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0))).alias("logdet"))
 
 
-def estimates(x: DataFrame, support: float, least: int, steps: int) -> DataFrame:
+def with_group(x: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """x with its group's row: handed to every task where there are few groups, else by a join salted so that a hot group is split."""
+    if few:
+        return x.join(F.broadcast(groups), "g")
+    salted = x.withColumn("__salt", F.pmod(F.xxhash64(*STATS), F.lit(SALTS)).cast("int"))
+    return salted.join(groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "__salt"]).drop("__salt")
+
+
+def estimates(x: DataFrame, support: float, least: int, steps: int, few: bool = True) -> DataFrame:
     """(g, m*, w*, scale) by concentration steps over rows (g, x0..x4)."""
     d = len(STATS)
     quart = [F.percentile_approx(s, [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i, s in enumerate(STATS)]
@@ -138,9 +148,9 @@ def estimates(x: DataFrame, support: float, least: int, steps: int) -> DataFrame
     now = C.staged(factored(start), "mcd-start")
     before = None
     for step in range(steps):
-        far = x.join(now, "g").withColumn("d2", distance())
+        far = with_group(x, now, few).withColumn("d2", distance())
         cut = C.staged(now.join(far.groupBy("g").agg(F.percentile_approx("d2", support, 10_000).alias("cut")), "g"), f"mcd-cut-{step}")
-        near = x.join(cut, "g").where(distance() <= F.col("cut"))
+        near = with_group(x, cut, few).where(distance() <= F.col("cut"))
         moments = near.groupBy("g").agg(F.first("n").alias("n"), *[F.avg(s).alias(f"m{i}") for i, s in enumerate(STATS)], *[F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i, j in PAIRS])
         moments = moments.select("g", "n", *[f"m{i}" for i in range(d)], *[(F.col(f"c{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
         now = C.staged(factored(moments), f"mcd-{step}")
@@ -148,12 +158,12 @@ def estimates(x: DataFrame, support: float, least: int, steps: int) -> DataFrame
         if total is None or before is not None and total > before - 1e-3:
             break
         before = total
-    far = x.join(now, "g").withColumn("d2", distance())
+    far = with_group(x, now, few).withColumn("d2", distance())
     scale = far.groupBy("g").agg((F.percentile_approx("d2", support, 10_000) / chi_square(support, d)).alias("scale"))
     return C.staged(now.join(scale, "g").drop("n", "logdet"), "mcd")
 
 
-def quality_rules(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUTOFF, least: int = LEAST, steps: int = STEPS) -> DataFrame:
+def quality_rules(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUTOFF, least: int = LEAST, steps: int = STEPS, few_groups: int = FEW) -> DataFrame:
     """base_counts with kept, and distance (null where the base rule alone judged)."""
     counts = C.staged(base_counts(docs), "quality-counts")
     fit = counts.where("not base_failed")
@@ -168,10 +178,12 @@ def quality_rules(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUT
         F.when(F.col("s.n") >= least, name(F.col("s.lang"), F.col("s.source"))).when(F.col("l.n") >= least, name(F.col("s.lang"))).otherwise(F.lit("\x02")).alias("g"),
     )
     keys = C.staged(keys, "quality-groups")
-    placed = counts.join(keys, counts["lang"].eqNullSafe(F.col("k_lang")) & counts["source"].eqNullSafe(F.col("k_source")), "left").drop("k_lang", "k_source")
+    few = keys.count() <= few_groups
+    hand = F.broadcast if few else lambda t: t
+    placed = counts.join(hand(keys), counts["lang"].eqNullSafe(F.col("k_lang")) & counts["source"].eqNullSafe(F.col("k_source")), "left").drop("k_lang", "k_source")
     fit = C.staged(placed.where("not base_failed").select("g", *STATS), "quality-fit")
-    model = estimates(fit, support, least, steps)
-    judged = placed.join(model, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), distance() / F.greatest(F.col("scale"), F.lit(1.0))))
+    model = estimates(fit, support, least, steps, few)
+    judged = placed.join(hand(model), "g", "left").withColumn("distance", F.when(~F.col("base_failed"), distance() / F.greatest(F.col("scale"), F.lit(1.0))))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square(cutoff, len(STATS)), F.lit(True))
     return judged.withColumn("kept", kept).select("doc_id", "n_words", *BASE, "base_failed", "kept", "distance")
 

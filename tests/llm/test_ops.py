@@ -191,6 +191,12 @@ def test_covariance_steps_against_numpy(spark):
     assert out.sum() == 100 and (far.d2[out] > cut).all() and (far.d2[~out] > cut).mean() < 0.005
 
 
+def test_many_groups_give_the_same(spark):
+    docs = C.table(spark, MID, "documents")
+    a, b = (quality.quality_rules(docs, few_groups=n).select("doc_id", "kept", "base_failed").toPandas() for n in (quality.FEW, 0))
+    assert rows(a) == rows(b)
+
+
 def test_chi_square():
     assert abs(quality.chi_square(0.95, 5) - 11.07) < 0.1 and abs(quality.chi_square(0.75, 5) - 6.626) < 0.05
 
