@@ -23,7 +23,8 @@ class Engine:
     config: (path, content) of configuration files. symbols: (owner, name, params, returnType) of types outside the sources;
     calls into those under a prefix of whitelist are kept.
     rules: endpoint rules; endpoints=False leaves them out. filters: DataFrame of call targets -> Column, which calls to keep besides the
-    built-in ones. enrichers: tables -> tables, applied to what was read before it is stored. strict: a
+    built-in ones. processors: types -> more rows by table (extract.build). enrichers: tables -> tables, applied to what was read before it
+    is stored; both by ascending priority. strict: a
     receiver of unknown type fits no rule. nested_types: enums, annotations, records and nested types too.
     """
 
@@ -41,10 +42,12 @@ class Engine:
         strict: bool = False,
         nested_types: bool = False,
         whitelist: tuple[str, ...] = (),
+        processors: tuple[Callable[[DataFrame], dict], ...] = (),
     ):
         self.spark, self.store, self.sources, self.config, self.symbols = spark, GraphStore(spark, root), sources, config, symbols
         self.rules = R.load() if rules is None else R.arrange(rules)
-        self.endpoints, self.filters, self.enrichers, self.strict, self.nested_types, self.whitelist = endpoints, filters, enrichers, strict, nested_types, whitelist
+        self.endpoints, self.filters, self.enrichers, self.strict, self.nested_types = endpoints, filters, enrichers, strict, nested_types
+        self.whitelist, self.processors = whitelist, processors
 
     # --- reading sources
 
@@ -52,8 +55,8 @@ class Engine:
         """All tables of some files. Types that the batch leaves alone are known from the store."""
         dictionary = C.dictionary(C.entries(self.config())) if self.config else None
         parsed = facts.parse_sources(some, dictionary, self.rules if self.endpoints else [], self.nested_types)
-        tables = extract.build(parsed, self.rules, self.known(), self.strict, self.endpoints, self.filters, self.whitelist)
-        for enrich in self.enrichers:
+        tables = extract.build(parsed, self.rules, self.known(), self.strict, self.endpoints, self.filters, self.whitelist, self.processors)
+        for enrich in extract.in_order(self.enrichers):
             tables = enrich(tables)
         return tables
 

@@ -170,8 +170,12 @@ def structure(units: DataFrame, method: DataFrame) -> DataFrame:
     return M.edge_rows(a.unionByName(b).distinct())
 
 
-def build(facts: DataFrame, rules: list[dict] = (), symbols: DataFrame | None = None, strict: bool = False, endpoints: bool = True, filters=(), whitelist=()) -> dict[str, DataFrame]:
-    """All five tables from parsed sources; edges may still lead to unknown functions (see mutate.add_placeholders)."""
+def build(facts: DataFrame, rules: list[dict] = (), symbols: DataFrame | None = None, strict: bool = False, endpoints: bool = True, filters=(), whitelist=(), processors=()) -> dict[str, DataFrame]:
+    """All five tables from parsed sources; edges may still lead to unknown functions (see mutate.add_placeholders).
+
+    processors: functions from types (projectFilePath, package, known, t, unit) to more rows by table; run in the order of
+    their attribute priority (100 without one), left out if their attribute enabled is false.
+    """
     from . import endpoints as E
 
     known = staged(A.resolved(staged(facts, "facts"), symbols), "resolved")
@@ -182,4 +186,13 @@ def build(facts: DataFrame, rules: list[dict] = (), symbols: DataFrame | None =
     points = staged(E.extract(typed, method, list(rules) if endpoints else [], strict), "endpoints")
     links = E.links(points, function)
     nodes = shaped(E.distinct(points), schema.ENDPOINTS)
-    return {"packages": packages(known), "units": unit, "functions": function, "endpoints": nodes, "edges": edges.unionByName(M.edge_rows(links))}
+    out = {"packages": packages(known), "units": unit, "functions": function, "endpoints": nodes, "edges": edges.unionByName(M.edge_rows(links))}
+    for processor in in_order(processors):
+        for name, rows in processor(typed).items():
+            out[name] = out[name].unionByName(shaped(rows, schema.TABLES[name]))
+    return out
+
+
+def in_order(hooks) -> list:
+    """Enabled hooks by ascending priority; equal ones as given."""
+    return sorted((h for h in hooks if getattr(h, "enabled", True)), key=lambda h: getattr(h, "priority", 100))

@@ -1,4 +1,4 @@
-"""Look-ups and set operators over node and edge tables. All are plans: nothing runs here."""
+"""Look-ups and set operators over node and edge tables. All are plans; only `few` runs a count."""
 
 from __future__ import annotations
 
@@ -23,17 +23,26 @@ def edges_of(edges: DataFrame, *types: str) -> DataFrame:
     return edges.where(F.col("relationshipType").isin(*types))
 
 
+#: Rows of a side that is handed to every task, at most; a larger one is joined by shuffles.
+FEW = 100_000
+
+
+def few(side: DataFrame, most: int = FEW) -> DataFrame:
+    """side with a broadcast hint if it was counted and is small enough, so that the large table is only scanned."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
 def callers(edges: DataFrame, functions: DataFrame, files: DataFrame | str) -> DataFrame:
     """(calleeFile, projectFilePath, gitRepoUrl, gitBranch), distinct: files with a call into the given file or files (projectFilePath).
 
-    The callee side is cut to the given files first, so both joins carry only their calls; callers
-    without a file (placeholders) are left out.
+    The callee side is cut to the given files first and counted: few callees are handed to every task, so that the
+    edges are scanned without a shuffle. Callers without a file (placeholders) are left out.
     """
     if isinstance(files, str):
         callee = functions.where(F.col("projectFilePath") == files)
     else:
         callee = functions.join(files.select("projectFilePath").distinct(), "projectFilePath", "left_semi")
-    callee = callee.select(F.col("id").alias("toNodeId"), F.col("projectFilePath").alias("calleeFile")).distinct()
+    callee = few(callee.select(F.col("id").alias("toNodeId"), F.col("projectFilePath").alias("calleeFile")).distinct())
     caller = functions.where("projectFilePath is not null").select(F.col("id").alias("fromNodeId"), "projectFilePath", "gitRepoUrl", "gitBranch")
     into = edges_of(edges, schema.CALLS).select("fromNodeId", "toNodeId").join(callee, "toNodeId").select("fromNodeId", "calleeFile").distinct()
     return into.join(caller, "fromNodeId").select("calleeFile", "projectFilePath", "gitRepoUrl", "gitBranch").distinct()

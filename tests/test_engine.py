@@ -58,6 +58,28 @@ def test_filters_enrichers_and_endpoints(spark, tmp_path):
     assert {r.part: r.n for r in plain.summary().collect()}["endpoints"] == 0
 
 
+def test_processors_by_priority(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    order = []
+
+    def late(types):
+        order.append("late")
+        return {"packages": types.select(F.concat(F.lit("extra."), "package").alias("id")).distinct()}
+
+    def early(types):
+        order.append("early")
+        return {}
+
+    def off(types):
+        raise AssertionError
+
+    early.priority, off.enabled = 1, False
+    e = Engine(spark, str(tmp_path / "g"), lambda: sources(spark, FILES), processors=(late, off, early))
+    e.apply(changes(spark, *[("SOURCE_ADDED", p) for p in FILES]))
+    assert order == ["early", "late"] and {r.id for r in e.store.read()["packages"].collect()} == {"p", "extra.p"}
+
+
 def test_stream_into_the_store(spark, tmp_path):
     changes(spark, *[("SOURCE_ADDED", p) for p in FILES]).coalesce(1).write.json(str(tmp_path / "log"))
     e = Engine(spark, str(tmp_path / "g"), lambda: sources(spark, FILES))
