@@ -334,6 +334,18 @@ def test_planted_passages(spark):
     assert [group[i] for i in range(len(texts))] == [0] * 6 + [6] * 6 + [12] * 6 + [12, 19, 20]
 
 
+def test_a_part_of_a_passage_hides_no_link(spark):
+    """The least document has most of each passage, which is not enough; the others have all of it."""
+    r = np.random.default_rng(9)
+    word = lambda n: [f"u{i}" for i in r.integers(0, 10**9, n)]
+    passage = [word(56) for _ in range(60)]
+    texts = [" ".join(w for p in passage for w in word(20) + p[:45] + word(20))]
+    for p in passage:
+        texts += [" ".join(word(90) + p + word(60)) for _ in range(2)]
+    got = passages.near_passages(docs_of(spark, texts)).collect()
+    assert {(x.doc_id, x.peer_id) for x in got} == {(2 * i + 2, 2 * i + 1) for i in range(60)}
+
+
 # --- 7
 
 
