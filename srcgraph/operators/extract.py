@@ -12,8 +12,6 @@ from . import facts as A
 from . import mutate as M
 from .staging import staged
 
-ROUNDS = 3
-
 
 def shaped(rows: DataFrame, table) -> DataFrame:
     """rows as a node table: missing columns are null."""
@@ -89,16 +87,17 @@ def functions(method: DataFrame) -> DataFrame:
     return shaped(rows.dropDuplicates(["id"]), schema.FUNCTIONS)
 
 
-def ancestors(typed: DataFrame, depth: int = ROUNDS) -> DataFrame:
-    """(owner, ancestor, depth): each type itself and what it extends or implements, up to depth steps."""
-    direct = typed.select(F.col("unit").alias("owner"), "known", F.explode("t.supers").alias("s")).select("owner", A.lookup(F.col("known"), F.col("s")).alias("ancestor")).distinct()
+def ancestors(typed: DataFrame) -> DataFrame:
+    """(owner, ancestor, depth): each type itself and all that it extends or implements, with the fewest steps to it."""
+    direct = staged(typed.select(F.col("unit").alias("owner"), "known", F.explode("t.supers").alias("s")).select("owner", A.lookup(F.col("known"), F.col("s")).alias("ancestor")).distinct(), "supers")
     out = typed.select(F.col("unit").alias("owner"), F.col("unit").alias("ancestor"), F.lit(0).alias("depth")).distinct()
-    last = direct.withColumn("depth", F.lit(1))
-    out = out.unionByName(last)
-    for i in range(2, depth + 1):
-        last = last.select("owner", F.col("ancestor").alias("middle")).join(direct.withColumnRenamed("owner", "middle"), "middle").select("owner", "ancestor").distinct().withColumn("depth", F.lit(i))
-        out = out.unionByName(last)
-    return out.groupBy("owner", "ancestor").agg(F.min("depth").alias("depth"))
+    last, i = direct, 1
+    while True:  # pairs that were met before go no further, so cycles end
+        last = staged(last.join(out, ["owner", "ancestor"], "left_anti").withColumn("depth", F.lit(i)), f"ancestors-{i}")
+        if last.isEmpty():
+            return out
+        out, i = out.unionByName(last), i + 1
+        last = last.select("owner", F.col("ancestor").alias("middle")).join(direct.withColumnRenamed("owner", "middle"), "middle").select("owner", "ancestor").distinct()
 
 
 def fits(arguments: Column, params: Column) -> Column:
@@ -110,7 +109,7 @@ def fits(arguments: Column, params: Column) -> Column:
     return F.when(~clash, equal)
 
 
-def call_targets(typed: DataFrame, method: DataFrame, symbols: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+def call_targets(typed: DataFrame, method: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """Call sites with the function they reach: (callerId, site, name, line, targetId, owner, fromSource).
 
     The owner is the receiver's type, or the calling type; a receiver that is itself a call has the type that its
@@ -145,8 +144,9 @@ def call_targets(typed: DataFrame, method: DataFrame, symbols: DataFrame | None
     # each round is read twice, so it is written once
     last = staged(resolve(site.where("owner is not null")), "calls-0")
     waiting = site.where("owner is null and receiverCall is not null").drop("owner")
-    out = last
-    for i in range(1, rounds):
+    out, i = last, 0
+    while not last.isEmpty():  # a chain is as long as its expression, so this ends
+        i += 1
         typed_now = waiting.join(last.select("callerId", F.col("at").alias("receiverCall"), F.regexp_replace("returns", r"\[\]$", "").alias("owner")), ["callerId", "receiverCall"])
         last = staged(resolve(typed_now.select(*site.columns)), f"calls-{i}")
         out = out.unionByName(last)
