@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,7 +172,21 @@ SPANS = """SELECT l_orderkey AS k, l_suppkey AS s, min(l_linenumber) AS "startLi
     plain=True,
 )
 def position_range_join(spark, d):
-    l = table(spark, d, "lineitem").where("l_orderkey < 300")
+    return first_spans(table(spark, d, "lineitem").where("l_orderkey < 300"))
+
+
+@query(
+    "position_range_join_all",
+    """WITH spans AS (SELECT l_orderkey AS k, l_suppkey AS s, min(l_linenumber) AS "startLine", max(l_linenumber) AS "endLine" FROM lineitem GROUP BY 1, 2), points AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS line FROM lineitem)
+    SELECT k, line, s FROM (SELECT p.k, p.line, s.s, row_number() OVER (PARTITION BY p.k, p.line ORDER BY s."startLine", s.s) AS n FROM points p JOIN spans s ON p.k = s.k AND p.line BETWEEN s."startLine" AND s."endLine") WHERE n = 1""",
+    plain=True,
+)
+def position_range_join_all(spark, d):
+    """The range join over the whole table; position_range_join and its SQL read the first orders alone."""
+    return first_spans(table(spark, d, "lineitem"))
+
+
+def first_spans(l: DataFrame) -> DataFrame:
     spans = l.groupBy(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s")).agg(F.min("l_linenumber").alias("startLine"), F.max("l_linenumber").alias("endLine"))
     points = l.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line")).distinct()
     return G.position_join(points, spans, ["k"], ["startLine", "s"]).select("k", "line", "s")
