@@ -161,16 +161,21 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, confirme
             import pyarrow as pa
 
             for batch in batches:
-                ids, digests = [], []
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids, shas, digests = [], [], []
+                for i, text, sha in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                     d = list(_digests(text.as_py(), min_chars))
                     ids += [i] * len(d)
+                    shas += [sha] * len(d)
                     digests += d
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "digest"])
-
-        holds = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(own, "doc_id long, digest binary")
-        drops = holds.join(confirmed, "digest").where("doc_id < keep").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("digest").alias("__drop"))
-        source = docs.join(drops, docs["doc_id"].cast("long") == drops["__id"], "left").drop("__id")
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shas, pa.string()), pa.array(digests, pa.binary())], ["doc_id", "sha", "digest"])
+
+        # rows without doc_id are known by their text
+        sha = F.when(F.col("doc_id").isNull(), F.sha2(F.col("text").cast("string"), 256))
+        holds = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), sha.alias("sha")).mapInArrow(own, "doc_id long, sha string, digest binary")
+        lost = holds.join(confirmed, "digest").where("doc_id is null or doc_id < keep")
+        drops = lost.groupBy(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).agg(F.collect_set("digest").alias("__drop"))
+        source = docs.withColumn("__own", sha)
+        source = source.join(drops, source["doc_id"].cast("long").eqNullSafe(drops["__id"]) & source["__own"].eqNullSafe(drops["__sha"]), "left").drop("__id", "__sha", "__own")
 
     def clean(batches):
         import pyarrow as pa

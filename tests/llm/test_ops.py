@@ -271,6 +271,16 @@ def test_line_dedup_both_ways(spark, most):
     assert {r.doc_id: (r.n_lines, r.n_dropped, sha(r.text)) for r in got} == plain_line_dedup(texts)
 
 
+@pytest.mark.parametrize("most", [linededup.CONFIRMED_MOST, 0])
+def test_line_dedup_without_doc_id(spark, most):
+    """A null doc_id never keeps a repeated line, whichever way the lines are handed out."""
+    long = "A line of more than twenty characters"
+    docs = [(i, f"{long}\nown {i}") for i in range(4)] + [(None, f"{long}\nfirst"), (None, f"{long}\nfirst"), (None, "second"), (None, None)]
+    got = linededup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), confirmed_most=most).collect()
+    want = [(None, None, 0), (None, "first", 1), (None, "first", 1), (None, "second", 0), (0, "own 0", 1), (1, "own 1", 1), (2, "own 2", 1), (3, f"{long}\nown 3", 0)]
+    assert sorted(((r.doc_id, r.text, r.n_dropped) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_line_dedup_equals_sql(spark, duck):
     assert rows(run(spark, "op5_line_dedup")) == rows(duck.execute(linededup.ORACLE).df())
 
