@@ -356,6 +356,22 @@ def test_a_part_of_a_passage_hides_no_link(spark):
     assert {(x.doc_id, x.peer_id) for x in got} == {(2 * i + 2, 2 * i + 1) for i in range(60)}
 
 
+def test_edited_passages_meet_in_the_middle(spark):
+    """Variants of one passage are like it and unlike each other; the passage itself is in a document amid them."""
+    r = np.random.default_rng(5)
+    word = lambda n: [f"w{i}" for i in r.integers(0, 10**9, n)]
+    base, n = word(60), 60
+    held = [list(base) for _ in range(n)]
+    for i in range(n):
+        if i != n // 2:
+            held[i][6 + i * 7 % 48] = f"edit{i}"
+    texts = [" ".join(word(40) + p + word(40)) for p in held]
+    got = passages.near_passages(docs_of(spark, texts).repartition(4)).collect()
+    shingles = [{tuple(p[k : k + 5]) for k in range(56)} for p in held]
+    pairs = [(a, b) for a in range(n) for b in range(a) if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    assert union_find([(x.doc_id, x.peer_id) for x in got], range(n)) == union_find(pairs, range(n))
+
+
 # --- 7
 
 
