@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
-from .operators import extract, facts
+from .operators import extract as X
+from .operators import facts
 from .operators import graph as G
+from .operators.staging import all_staged, in_memory, local, scratch, small, staged
 from .operators.store import GraphStore
 from .sources import config as C
 from .sources import requests as Q
 from .sources import rules as R
 from .streaming import incremental as I
 
+#: Files and bytes of a batch that is planned on the driver, at most.
+SMALL_FILES, SMALL_BYTES = 200, 8_000_000
+
 
 class Engine:
     """
@@ -51,39 +57,104 @@ class Engine:
 
     # --- reading sources
 
+    def parse(self, some: DataFrame) -> DataFrame:
+        """Facts of some files, in the types of nothing else."""
+        dictionary = C.dictionary(C.entries(self.config())) if self.config else None
+        return facts.parse_sources(some, dictionary, self.rules if self.endpoints else [], self.nested_types)
+
     def build(self, some: DataFrame) -> dict[str, DataFrame]:
         """All tables of some files. Types that the batch leaves alone are known from the store."""
-        dictionary = C.dictionary(C.entries(self.config())) if self.config else None
-        parsed = facts.parse_sources(some, dictionary, self.rules if self.endpoints else [], self.nested_types)
-        tables = extract.build(parsed, self.rules, self.known(), self.strict, self.endpoints, self.filters, self.whitelist, self.processors)
-        for enrich in extract.in_order(self.enrichers):
-            tables = enrich(tables)
-        return tables
-
-    def known(self) -> DataFrame | None:
-        """Functions that calls may reach besides those of the files read: the store's, placeholders too, and the symbols."""
-        stored = None
-        if self.store.versions():
-            f = self.store.read()["functions"]
-            head = F.substring_index("id", "(", 1)
-            params = F.regexp_extract("id", r"\((.*)\)$", 1)
-            stored = f.where("not coalesce(isConstructor, false)").select(
-                F.regexp_replace(head, r"\.[^.]*$", "").alias("owner"),
-                F.substring_index(head, ".", -1).alias("name"),
-                F.when(params == "", F.array().cast("array<string>")).otherwise(F.split(params, ",")).alias("params"),
-                "returnType",
-                F.lit(True).alias("fromSource"),
-            )
-        if self.symbols is None:
-            return stored
-        more = self.symbols.select("owner", "name", "params", "returnType").withColumn("fromSource", F.lit(False))
-        return more if stored is None else stored.unionByName(more)
+        stored = self.store.read_all() if self.store.versions() else None
+        return self._tables(*self._front(staged(self.parse(some), "facts"), stored, some))
+
+    def _front(self, parsed: DataFrame, stored: dict | None, files: DataFrame):
+        """(facts with names resolved, shapes, the types of other files)."""
+        world = None
+        if stored is not None:
+            ids = parsed.select("package", F.explode("shapes.name").alias("name")).select(F.concat_ws(".", "package", "name").alias("id"))
+            others = stored["shapes"].join(G.few(files.select("projectFilePath").distinct()), "projectFilePath", "left_anti").join(G.few(ids.distinct()), "id", "left_anti")
+            world = X.R.World(others.select(*schema.SHAPES.names), in_memory())
+        return (*X.front(parsed, self.symbols, world), world)
+
+    def _tables(self, known: DataFrame, shapes: DataFrame, world) -> dict[str, DataFrame]:
+        tables = X.tables(known, shapes, world, self.rules, self.symbols, self.strict, self.endpoints, self.filters, self.whitelist, self.processors)
+        own = {k: tables[k] for k in schema.TABLES}
+        for enrich in X.in_order(self.enrichers):
+            own = enrich(own)
+        return tables | own
 
     # --- changes
 
     def apply(self, changes: DataFrame) -> None:
-        """Take a batch of schema.CHANGES rows into the store, whole or not at all."""
-        self.store.commit(I.plan_changes(self.store.read(), changes, self.sources(), self.build))
+        """Take a batch of schema.CHANGES rows into the store, whole or not at all.
+
+        Read again are the changed files and all that use, by name, a type whose members or supertypes changed, or one below it, until
+        no more types change; so a batch gives what reading everything gives. Small batches (SMALL_FILES, SMALL_BYTES) are planned
+        on the driver: what is in the size of the batch is collected, and the store is scanned with literal filters.
+        """
+        with scratch(self.spark):
+            last = I.dispatch(I.latest(changes)).select("projectFilePath", "action")
+            few = local(last) if last.limit(SMALL_FILES + 1).count() <= SMALL_FILES else None
+            if few is not None:
+                with small():
+                    deltas = self._plan(few, SMALL_FILES)
+                    if deltas is not None:
+                        self.store.commit(deltas)
+                        return
+            self.store.commit(self._plan(staged(last, "changes")))
+
+    def _sources(self, files: DataFrame, most: int | None) -> DataFrame | None:
+        """The current text of files; none if they are too many for a small batch."""
+        sources = self.sources()
+        if most is None:
+            return sources.join(files, "projectFilePath", "left_semi")
+        paths = [r.projectFilePath for r in files.collect()]
+        if len(paths) > most:
+            return None
+        some = sources.where(F.col("projectFilePath").isin(paths))
+        size = some.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first() if len(paths) > 1 else (1, 0)
+        return None if size[0] > most or size[1] > SMALL_BYTES else local(some)
+
+    def _plan(self, last: DataFrame, most: int | None = None) -> dict | None:
+        """What the batch does to each table; most: files that a small batch may read, None is returned beyond."""
+        stored = self.store.read_all() if self.store.versions() else None
+        files = last.where("action <> 'delete'").select("projectFilePath")
+        texts = self._sources(files, most)
+        if texts is None:
+            return None
+        parsed = staged(self.parse(texts), "facts")
+        while True:
+            affected = files.unionByName(last.select("projectFilePath")).distinct()
+            known, shapes, world = self._front(parsed, stored, files)
+            if stored is None:
+                break
+            more = self._dependents(stored, files, affected, shapes)
+            if more.isEmpty():
+                break
+            texts = self._sources(more, most if most is None else most - files.count())
+            if texts is None:
+                return None
+            parsed, files = parsed.unionByName(staged(self.parse(texts), "facts")), staged(files.unionByName(more).distinct(), "files")
+        fresh = all_staged(self._tables(known, shapes, world), "fresh")
+        return I.replace_files(stored or self.store.read_all(), last, fresh)
+
+    def _dependents(self, stored: dict, files: DataFrame, affected: DataFrame, shapes: DataFrame) -> DataFrame:
+        """(projectFilePath): files besides the affected ones that use what changed, or whose functions share an endpoint with a file read again."""
+        read = G.few(affected)
+        before = stored["shapes"].join(G.few(files), "projectFilePath", "left_semi")
+        changed = staged(I.touched(before.select(*schema.SHAPES.names), shapes), "touched")
+        found = []
+        if not changed.isEmpty():
+            found.append(I.users(changed, stored["shapes"], stored["files"]))
+        points = staged(stored["endpoints"].join(read, "projectFilePath", "left_semi").select("id"), "old-points")
+        if not points.isEmpty():
+            by = G.edges_of(stored["edges"], "ENDPOINT_TO_FUNCTION", "FUNCTION_TO_ENDPOINT")
+            ends = [by.join(G.few(points.select(F.col("id").alias(a))), a, "left_semi").select(F.col(b).alias("id")) for a, b in (("fromNodeId", "toNodeId"), ("toNodeId", "fromNodeId"))]
+            linked = G.few(staged(ends[0].unionByName(ends[1]).distinct(), "linked"))
+            found.append(stored["functions"].join(linked, "id", "left_semi").select("projectFilePath"))
+        if not found:
+            return affected.where("false")
+        return staged(reduce(DataFrame.unionByName, found).distinct().join(affected, "projectFilePath", "left_anti").where("projectFilePath is not null"), "dependents")
 
     def request(self, method: str, body: dict) -> dict:
         """A PUT (changed) or DELETE (deleted) of one file, answered like the service: code, message, data."""
@@ -122,5 +193,9 @@ class Engine:
     def endpoints_by_identity(self, identity: str, direction: str | None = None) -> DataFrame:
         return G.read_defaults(G.by_identity(self.store.read()["endpoints"], identity, direction))
 
+    def unresolved_calls(self) -> DataFrame:
+        """Call sites without a target, and why."""
+        return self.store.read_all()["unresolved"].withColumnRenamed("id", "projectFilePath")
+
     def summary(self) -> DataFrame:
         return G.graph_summary(self.store.read())

@@ -10,6 +10,7 @@ from .. import schema
 from ..functions import scalars as S
 from . import facts as A
 from . import mutate as M
+from . import resolve as R
 from .staging import staged
 
 
@@ -87,78 +88,39 @@ def functions(method: DataFrame) -> DataFrame:
     return shaped(rows.dropDuplicates(["id"]), schema.FUNCTIONS)
 
 
-def ancestors(typed: DataFrame) -> DataFrame:
-    """(owner, ancestor, depth): each type itself and all that it extends or implements, with the fewest steps to it."""
-    direct = staged(typed.select(F.col("unit").alias("owner"), "known", F.explode("t.supers").alias("s")).select("owner", A.lookup(F.col("known"), F.col("s")).alias("ancestor")).distinct(), "supers")
-    out = typed.select(F.col("unit").alias("owner"), F.col("unit").alias("ancestor"), F.lit(0).alias("depth")).distinct()
-    last, i = direct, 1
-    while True:  # pairs that were met before go no further, so cycles end
-        last = staged(last.join(out, ["owner", "ancestor"], "left_anti").withColumn("depth", F.lit(i)), f"ancestors-{i}")
-        if last.isEmpty():
-            return out
-        out, i = out.unionByName(last), i + 1
-        last = last.select("owner", F.col("ancestor").alias("middle")).join(direct.withColumnRenamed("owner", "middle"), "middle").select("owner", "ancestor").distinct()
+def files(known: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """schema.FILES rows: the names of types that a file uses: written ones, its own, and those that its calls meet."""
+    parts = lambda names: F.flatten(F.transform(names, lambda n: F.split(n, r"[.]")))
+    rows = known.select(F.col("projectFilePath").alias("id"), "projectFilePath", "gitRepoUrl", "gitBranch", "package", parts(F.array_union("names", F.col("shapes.name"))).alias("names"), "error")
+    if sites is not None:
+        simple = lambda t: F.regexp_extract_all(t, F.lit(r"([\w$]+)(?![\w$.])"), F.lit(1))
+        met = sites.select("projectFilePath", F.explode(F.concat(F.coalesce(simple(F.col("ownerType")), F.array()), F.coalesce(simple(F.col("returns")), F.array()))).alias("n"))
+        met = met.groupBy("projectFilePath").agg(F.collect_set("n").alias("met"))
+        rows = rows.join(met, "projectFilePath", "left").withColumn("names", F.concat("names", F.coalesce("met", F.array().cast("array<string>"))))
+    return rows.withColumn("names", F.array_sort(F.array_distinct("names"))).select(*schema.FILES.names)
 
 
-def fits(arguments: Column, params: Column) -> Column:
-    """How many arguments of known type equal their parameter's; null if one of a primitive or text type contradicts it."""
-    pairs = F.arrays_zip(arguments.alias("a"), params.alias("p"))
-    plain = F.array(*[F.lit(x) for x in (*A.PRIMITIVES, "java.lang.String")])
-    clash = F.exists(pairs, lambda x: F.coalesce(F.array_contains(plain, x["a"]) & F.array_contains(plain, x["p"]) & (x["a"] != x["p"]), F.lit(False)))
-    equal = F.size(F.filter(pairs, lambda x: F.coalesce(x["a"] == x["p"], F.lit(False))))
-    return F.when(~clash, equal)
+def call_targets(known: DataFrame, method: DataFrame, symbols: DataFrame | None = None, world: R.World | None = None) -> DataFrame:
+    """Call sites with the function they reach: (callerId, at, name, line, targetId, owner, fromSource)."""
+    return targets(R.resolve_sites(method, staged(R.shapes(known, world), "shapes"), world, symbols))
 
 
-def call_targets(typed: DataFrame, method: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """Call sites with the function they reach: (callerId, site, name, line, targetId, owner, fromSource).
+def targets(sites: DataFrame) -> DataFrame:
+    return sites.where("not field and targetId is not null")
 
-    The owner is the receiver's type, or the calling type; a receiver that is itself a call has the type that its
-    target returns, found a round earlier. Candidates by (owner or ancestor, name, arity): nearest ancestor first, then by
-    argument types; several left means unresolved, and unresolved sites are dropped.
-    """
-    site = method.select("projectFilePath", "unit", "known", F.col("id").alias("callerId"), F.posexplode("m.calls").alias("at", "c"))
-    site = site.select(
-        "projectFilePath", "unit", "callerId", "at", F.col("c.name").alias("name"), F.col("c.line").alias("line"), F.size("c.args").alias("arity"), F.col("c.receiverCall").alias("receiverCall"),
-        F.transform("c.argTypes", lambda t: A.lookup(F.col("known"), t)).alias("argTypes"),
-        F.when(~F.col("c.hasReceiver") | F.col("c.viaSuper"), F.col("unit")).when(F.col("c.receiverType").isNotNull(), A.lookup(F.col("known"), F.col("c.receiverType"))).alias("owner"),
-        F.col("c.viaSuper").alias("viaSuper"),
-    )
-    own = method.where("not m.isConstructor").select(F.col("unit").alias("ancestor"), F.col("m.name").alias("name"), F.col("params"), F.col("id").alias("targetId"), A.lookup(F.col("known"), F.col("m.returnType")).alias("returns"), F.lit(True).alias("fromSource"))
-    up = ancestors(typed)
-    if symbols is not None:
-        more = symbols.select(F.col("owner").alias("ancestor"), "name", "params", S.qualified_name("owner", "name", "params").alias("targetId"), F.col("returnType").alias("returns"), F.col("fromSource") if "fromSource" in symbols.columns else F.lit(False).alias("fromSource"))
-        more = more.dropDuplicates(["targetId"])
-        own = own.unionByName(more.join(own.select("targetId"), "targetId", "left_anti"))
-        outside = symbols.select(F.col("owner")).distinct().join(up.select("owner").distinct(), "owner", "left_anti")
-        up = up.unionByName(outside.select("owner", F.col("owner").alias("ancestor"), F.lit(0).alias("depth")))
-    reach = up.join(own, "ancestor").withColumn("arity", F.size("params"))
-    key = ["callerId", "at"]
-
-    def resolve(open_: DataFrame) -> DataFrame:
-        met = open_.join(reach, ["owner", "name", "arity"]).where("not viaSuper or depth > 0")
-        met = met.withColumn("fit", fits(F.col("argTypes"), F.col("params"))).where("fit is not null")
-        best = W.partitionBy(*key)
-        met = met.withColumn("d", F.min("depth").over(best)).where("depth = d").withColumn("f", F.max("fit").over(best)).where("fit = f").withColumn("n", F.count("*").over(best))
-        return met.where("n = 1").select(*key, "projectFilePath", "unit", "name", "line", "targetId", F.col("ancestor").alias("owner"), "returns", "fromSource")
-
-    # each round is read twice, so it is written once
-    last = staged(resolve(site.where("owner is not null")), "calls-0")
-    waiting = site.where("owner is null and receiverCall is not null").drop("owner")
-    out, i = last, 0
-    while not last.isEmpty():  # a chain is as long as its expression, so this ends
-        i += 1
-        typed_now = waiting.join(last.select("callerId", F.col("at").alias("receiverCall"), F.regexp_replace("returns", r"\[\]$", "").alias("owner")), ["callerId", "receiverCall"])
-        last = staged(resolve(typed_now.select(*site.columns)), f"calls-{i}")
-        out = out.unionByName(last)
-    return out
-
-
-def calls(targets: DataFrame, whitelist=(), filters=()) -> DataFrame:
+
+def unresolved(sites: DataFrame) -> DataFrame:
+    """schema.UNRESOLVED rows: calls without a target, and why: no receiver type, no such member, or several."""
+    open_ = sites.where("not field and targetId is null")
+    return open_.select(F.col("projectFilePath").alias("id"), "callerId", F.col("at").alias("site"), "name", F.col("line").alias("lineNumber"), "ownerType", "reason")
+
+
+def calls(found: DataFrame, whitelist=(), filters=()) -> DataFrame:
     """CALLS edges, a row a call site that the filters keep; a site's number makes its id unique.
 
     whitelist: prefixes of types outside the sources that count as targets too.
     """
-    kept = targets.where(S.all_of([S.keeps_call("name"), S.in_whitelist("owner", "fromSource", list(whitelist)), *[f(targets) for f in filters]]))
+    kept = found.where(S.all_of([S.keeps_call("name"), S.in_whitelist("owner", "fromSource", list(whitelist)), *[f(found) for f in filters]]))
     rows = kept.select(F.col("callerId").alias("fromNodeId"), F.col("targetId").alias("toNodeId"), F.lit(schema.CALLS).alias("relationshipType"), F.col("line").alias("lineNumber"), F.lit("direct").alias("callType"), F.lit("java").alias("language"), "at")
     return rows.withColumn("id", S.edge_id("fromNodeId", "toNodeId", "relationshipType", "lineNumber", "at")).select(*schema.EDGES.names)
 
@@ -171,18 +133,31 @@ def structure(units: DataFrame, method: DataFrame) -> DataFrame:
 
 
 def build(facts: DataFrame, rules: list[dict] = (), symbols: DataFrame | None = None, strict: bool = False, endpoints: bool = True, filters=(), whitelist=(), processors=()) -> dict[str, DataFrame]:
-    """All five tables from parsed sources; edges may still lead to unknown functions (see mutate.add_placeholders).
+    """All five tables from parsed sources; edges may still lead to unknown functions (see mutate.add_placeholders)."""
+    known, shapes = front(staged(facts, "facts"), symbols)
+    out = tables(known, shapes, None, rules, symbols, strict, endpoints, filters, whitelist, processors)
+    return {k: out[k] for k in schema.TABLES}
+
+
+def front(facts: DataFrame, symbols: DataFrame | None = None, world: R.World | None = None) -> tuple[DataFrame, DataFrame]:
+    """facts with their names resolved, and their shapes; world: the types of other files."""
+    known = staged(A.resolved(facts, symbols, world), "resolved")
+    return known, staged(R.shapes(known, world), "shapes")
+
+
+def tables(known: DataFrame, shapes: DataFrame, world: R.World | None = None, rules: list[dict] = (), symbols: DataFrame | None = None, strict: bool = False, endpoints: bool = True, filters=(), whitelist=(), processors=()) -> dict[str, DataFrame]:
+    """All five tables and the auxiliary ones.
 
     processors: functions from types (projectFilePath, package, known, t, unit) to more rows by table; run in the order of
     their attribute priority (100 without one), left out if their attribute enabled is false.
     """
     from . import endpoints as E
 
-    known = staged(A.resolved(staged(facts, "facts"), symbols), "resolved")
     typed = types(known)
     method = staged(methods(typed), "methods")
     unit, function = units(typed), functions(method)
-    edges = structure(unit, method).unionByName(calls(call_targets(typed, method, symbols), whitelist, filters))
+    sites = R.resolve_sites(method, shapes, world, symbols)
+    edges = structure(unit, method).unionByName(calls(targets(sites), whitelist, filters))
     points = staged(E.extract(typed, method, list(rules) if endpoints else [], strict), "endpoints")
     links = E.links(points, function)
     nodes = shaped(E.distinct(points), schema.ENDPOINTS)
@@ -190,7 +165,7 @@ def build(facts: DataFrame, rules: list[dict] = (), symbols: DataFrame | None =
     for processor in in_order(processors):
         for name, rows in processor(typed).items():
             out[name] = out[name].unionByName(shaped(rows, schema.TABLES[name]))
-    return out
+    return out | {"shapes": shapes, "files": files(known, sites), "unresolved": unresolved(sites)}
 
 
 def in_order(hooks) -> list:

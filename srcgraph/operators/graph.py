@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from .. import schema
 from ..functions import scalars as S
+from .staging import in_memory
 
 
 def nodes_by_file(nodes: DataFrame, path: str) -> DataFrame:
@@ -27,9 +28,13 @@ def edges_of(edges: DataFrame, *types: str) -> DataFrame:
 FEW = 100_000
 
 
+def is_few(side: DataFrame, most: int = FEW) -> bool:
+    return side.limit(most + 1).count() <= most
+
+
 def few(side: DataFrame, most: int = FEW) -> DataFrame:
-    """side with a broadcast hint if it was counted and is small enough, so that the large table is only scanned."""
-    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+    """side with a broadcast hint if it was counted and is small enough, so that the large table is only scanned; in a small batch it is bounded already."""
+    return F.broadcast(side) if in_memory() or is_few(side, most) else side
 
 
 def callers(edges: DataFrame, functions: DataFrame, files: DataFrame | str) -> DataFrame:

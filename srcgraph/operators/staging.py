@@ -1,30 +1,73 @@
-"""Results that are read several times: written once to the folder that driver and executors share."""
+"""Results that are read several times: written once to the folder that driver and executors share, or held by the driver while a batch is small."""
 
 from __future__ import annotations
 
 import atexit
+import contextvars
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_small: contextvars.ContextVar[bool] = contextvars.ContextVar("small", default=False)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests on one machine, a folder that goes with this process."""
+    """spark.checkpoint.dir; where it is unset and all runs on one machine, as in tests, a folder that goes with this process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="srcgraph-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def in_memory() -> bool:
+    return _small.get()
+
+
+@contextmanager
+def small():
+    """Inside, staged results are collected: only for batches whose size was checked."""
+    token = _small.set(True)
+    try:
+        yield
+    finally:
+        _small.reset(token)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Inside, staged tables go to one folder, which is removed at the end."""
+    at = f"{shared_dir(spark)}/batch-{uuid.uuid4().hex}"
+    token = _folder.set(at)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
+
+
+def local(df: DataFrame) -> DataFrame:
+    """df collected, as one partition: plans over such alone need no shuffle."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema).coalesce(1)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write and read back: cuts lineage, and what is read again is not computed again."""
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _small.get():
+        return local(df)
+    at = f"{_folder.get() or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
@@ -32,7 +75,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def together(tasks: list[Callable]) -> list:
     """Run small jobs side by side: each is mostly waiting for the scheduler."""
     with ThreadPoolExecutor(max(1, len(tasks))) as pool:
-        return [f.result() for f in [pool.submit(t) for t in tasks]]
+        return [f.result() for f in [pool.submit(contextvars.copy_context().run, t) for t in tasks]]
 
 
 def all_staged(tables: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:

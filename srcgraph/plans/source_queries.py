@@ -123,8 +123,8 @@ def functions(spark):
     (f"{ROUTES}.build(Router,Unknown)", f"{ROUTES}.other()", 9, "direct"),
 )
 def calls(spark):
-    t = typed(spark)
-    return X.calls(X.call_targets(t, X.methods(t))).select("fromNodeId", "toNodeId", "lineNumber", "callType")
+    known = staged(A.resolved(staged(facts(spark), "facts")), "resolved")
+    return X.calls(X.call_targets(known, X.methods(X.types(known)))).select("fromNodeId", "toNodeId", "lineNumber", "callType")
 
 
 def structure(spark, kind):

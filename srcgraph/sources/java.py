@@ -274,7 +274,7 @@ class Parser:
             while self.kind() == "id" or self.peek() == "@":
                 while self.peek() == "@":
                     self.annotation()
-                self.ident()
+                t["fields"].append({"name": self.ident(), "type": t["name"], "annotations": [], "line": self.line, "init": None})
                 if self.peek() == "(":
                     self.arguments()
                 if self.peek() == "{":
@@ -293,13 +293,14 @@ class Parser:
         while not self.take(")"):
             _, notes, _ = self.modifiers()
             line, kind = self.line, self.type()
-            if self.take("..."):
+            varargs = self.take("...")
+            if varargs:
                 kind += "[]"
             name = "this" if self.take("this") else self.dotted()
             while self.take("["):
                 self.need("]")
                 kind += "[]"
-            out.append({"name": name, "type": kind, "annotations": notes, "line": line})
+            out.append({"name": name, "type": kind, "annotations": notes, "line": line, "varargs": varargs})
             self.take(",")
         return out
 
@@ -340,6 +341,8 @@ class Parser:
         m = {"name": name, "returnType": kind, "modifiers": modifiers, "annotations": notes, "line": first, "isConstructor": constructor, "variables": variables}
         m["params"] = [] if compact else self.parameters()
         m["params"] = [p for p in m["params"] if p["name"] != "this"]
+        if self.current is not None:  # a method of an anonymous or local type: its calls are the outer one's
+            self.current["locals"] += [{"name": p["name"], "type": p["type"], "line": p["line"], "init": None, "top": False} for p in m["params"]]
         while self.take("["):
             self.need("]")
             m["returnType"] += "[]"
@@ -441,7 +444,9 @@ class Parser:
             if not self.take(";"):
                 if self.declaration():
                     if self.take(":"):
-                        self.expression()
+                        each = self.expression()
+                        if self.current is not None:
+                            self.current["locals"][-1]["each"] = each
                         self.need(")")
                         self.statement()
                         self.depth -= 1
@@ -592,14 +597,14 @@ class Parser:
                 self.i += 2
                 self.take(">")
                 self.take("=")
-                left = Node("other", left.line, children=[left, self.expression(11)])
+                left = Node("other", left.line, name=">>", children=[left, self.expression(11)])
             elif op not in BINARY or BINARY[op] < least or self.kind() not in ("op", "id"):
                 break
             elif op == "?":
                 self.i += 1
                 a = self.expression()
                 self.need(":")
-                left = Node("other", left.line, children=[left, a, self.expression(2)])
+                left = Node("ternary", left.line, children=[left, a, self.expression(2)])
             elif op == "instanceof":
                 self.i += 1
                 if not self.pattern():
@@ -607,7 +612,7 @@ class Parser:
                     self.type()
                     if self.kind() == "id" and self.peek() not in BINARY:
                         self.ident()
-                left = Node("other", left.line, children=[left])
+                left = Node("other", left.line, name=op, children=[left])
             elif BINARY[op] == 1:
                 self.i += 1
                 right = self.expression()
@@ -617,7 +622,7 @@ class Parser:
                 left = node
             else:
                 self.i += 1
-                left = Node("plus" if op == "+" else "other", left.line, left=left, right=self.expression(BINARY[op] + 1))
+                left = Node("plus" if op == "+" else "other", left.line, name=op, left=left, right=self.expression(BINARY[op] + 1))
             self.finish(left, start)
         self.finish(left, start)
         return left
@@ -631,7 +636,7 @@ class Parser:
         start, line, x = self.i, self.line, self.peek()
         if x in ("+", "-", "!", "~", "++", "--"):
             self.i += 1
-            n = Node("other", line, children=[self.unary()])
+            n = Node("other", line, name="!" if x == "!" else "unary", children=[self.unary()])
             self.finish(n, start)
             return n
         if x == "(":
@@ -673,10 +678,9 @@ class Parser:
     def lambda_(self) -> Node:
         n = Node("lambda", self.line)
         start = self.i
-        if self.peek() == "(":
-            self.skip_to_close("(", ")")
-        else:
-            self.ident()
+        for p in self.lambda_parameters():
+            if self.current is not None:
+                self.current["locals"].append(p | {"init": None, "top": False})
         self.need("->")
         if self.peek() == "{":
             self.depth += 1
@@ -687,6 +691,25 @@ class Parser:
         self.finish(n, start)
         return n
 
+    def lambda_parameters(self) -> list[dict]:
+        line = self.line
+        if self.peek() != "(":
+            return [{"name": self.ident(), "type": "var", "line": line}]
+        start, names = self.i, []
+        self.i += 1
+        while self.kind() == "id" and self.peek(1) in (",", ")"):
+            names.append({"name": self.ident(), "type": "var", "line": line})
+            self.take(",")
+        if self.take(")"):
+            return names
+        self.i = start
+        try:
+            return [{"name": p["name"], "type": p["type"], "line": line} for p in self.parameters()]
+        except ParseError:
+            self.i = start
+            self.skip_to_close("(", ")")
+            return []
+
     def arguments(self) -> list[Node]:
         out = []
         self.need("(")
@@ -787,23 +810,23 @@ class Parser:
                     n = Node("other", n.line, children=[n, self.primary()])
                 elif self.peek() in ("this", "class", "super") and self.kind() == "id":
                     word = self.next()[1]
-                    n = Node("this" if word == "this" else "super" if word == "super" else "other", n.line)
+                    n = Node(word, n.line, target=n)
                 else:
                     name = self.ident()
                     n = self.call(n, name, n.line, start) if self.peek() == "(" else Node("field", n.line, target=n, name=name)
             elif self.peek() == "[":
                 self.i += 1
-                n = Node("other", n.line, children=[n, self.expression()])
+                n = Node("index", n.line, left=n, children=[self.expression()])
                 self.need("]")
             elif self.peek() in ("++", "--"):
                 self.i += 1
-                n = Node("other", n.line, children=[n])
+                n = Node("other", n.line, name="unary", children=[n])
             elif self.peek() == "::":
                 self.i += 1
                 if self.peek() == "<":
                     self.type_args()
                 self.next()
-                n = Node("other", n.line, children=[n])
+                n = Node("reference", n.line, children=[n])
             else:
                 return n
             self.finish(n, start)

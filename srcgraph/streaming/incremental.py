@@ -2,7 +2,7 @@
 
 Order of a batch: dependents of all changed files first, then delete, then insert, then calls and
 placeholders, so incoming calls survive a change. One batch gives one new version of the tables, so applying it twice gives the
-same graph.
+same graph, and the same as reading all files anew.
 """
 
 from __future__ import annotations
@@ -85,59 +85,108 @@ def plan_changes(tables: dict[str, DataFrame], changes: DataFrame, sources: Data
     ends allowed. Read again are the files added or modified, and, one hop, those that call into
     a modified or deleted one. Dependents are found before anything goes.
     """
-    edges, functions = tables["edges"], tables["functions"]
-    ids = lambda t: t.select("id").distinct()
     last = staged(dispatch(latest(changes)).select("projectFilePath", "action"), "changes")
-    moved = last.where("action in ('modify', 'delete', 'add')").select("projectFilePath")
-    asked = last.where("action = 'cascade'").select("projectFilePath")
-    dependents = G.callers(edges, functions, moved).select("projectFilePath").unionByName(asked).distinct().join(moved, "projectFilePath", "left_anti")
+    moved, asked = parts_of(last)
+    dependents = G.callers(tables["edges"], tables["functions"], moved).select("projectFilePath").unionByName(asked).distinct().join(moved, "projectFilePath", "left_anti")
     affected = staged(last.where("action in ('add', 'modify')").select("projectFilePath").unionByName(dependents).distinct(), "affected")
-    fresh = all_staged(build(sources.join(affected, "projectFilePath", "left_semi")), "fresh")
-
-    # only files that could be read again lose their outgoing calls
-    read = fresh["units"].select("projectFilePath").join(affected, "projectFilePath", "left_semi").unionByName(moved).distinct()
-    both = all_staged({"callers": ids(functions.join(read, "projectFilePath", "left_semi")), "gone": M.nodes_of_files(tables, moved)}, "batch")
-    callers, gone = both["callers"], both["gone"]
-    calls = G.edges_of(edges, schema.CALLS)
-    cut = calls.join(callers.withColumnRenamed("id", "fromNodeId"), "fromNodeId", "left_semi")
-    into = calls.join(gone.withColumnRenamed("id", "toNodeId"), "toNodeId", "left_semi").join(callers.withColumnRenamed("id", "fromNodeId"), "fromNodeId", "left_anti")
-    held = staged(into.select(F.col("toNodeId").alias("id")).distinct(), "held")  # still called by other files
-    lost = gone.join(held, "id", "left_anti")
-    at = lambda end: edges.join(lost.withColumnRenamed("id", end), end, "left_semi").select("id")
-    gone_edges = staged(cut.select("id").unionByName(at("fromNodeId")).unionByName(at("toNodeId")).distinct(), "gone-edges")
-    left = edges.join(gone_edges, "id", "left_anti")
-
-    def missing(new: DataFrame, key: list[str]) -> DataFrame:
-        """Rows of new, one a key, whose key no edge that is left has."""
-        known = left.select(*key).join(new.select(*key).distinct(), key, "left_semi")
-        return new.join(known.distinct(), key, "left_anti").dropDuplicates(key)
-
-    structure, made = fresh["edges"].where(F.col("relationshipType") != schema.CALLS), G.edges_of(fresh["edges"], schema.CALLS)
+    return replace_files(tables, last, all_staged(build(sources.join(affected, "projectFilePath", "left_semi")), "fresh"))
+
+
+def parts_of(last: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files that changed themselves, files to be read again) of (projectFilePath, action)."""
+    return last.where("action in ('modify', 'delete', 'add')").select("projectFilePath"), last.where("action = 'cascade'").select("projectFilePath")
+
+
+def touched(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id): types whose shape differs between two versions of the same files."""
+    print_ = F.xxhash64("kind", "supers", "fields", "methods", "ancestors")
+    a, b = before.select("id", print_.alias("a")), after.select("id", print_.alias("b"))
+    return a.join(b, "id", "full").where("not a <=> b").select("id")
+
+
+def users(touched_ids: DataFrame, shapes: DataFrame, files: DataFrame) -> DataFrame:
+    """(projectFilePath): files that use a touched type or one below it, by simple names."""
+    below = shapes.select("id", F.explode("ancestors.name").alias("up")).join(G.few(touched_ids.select(F.col("id").alias("up"))), "up", "left_semi")
+    names = touched_ids.select("id").unionByName(below.select("id")).select(F.substring_index("id", ".", -1).alias("name")).distinct()
+    return files.select("projectFilePath", F.explode("names").alias("name")).join(G.few(names), "name", "left_semi").select("projectFilePath").distinct()
+
+
+def replace_files(tables: dict[str, DataFrame], last: DataFrame, fresh: dict[str, DataFrame]) -> dict[str, Delta]:
+    """What it does to each table that the files of last (projectFilePath, action) are as fresh says.
+
+    A file that was read again is replaced whole; calls into it from other files stay, and lead to placeholders where their target is
+    gone. Placeholders that no call is left for go. With the auxiliary tables (files, shapes) packages follow their files, and types of
+    deleted files stay known without a file.
+    """
+    edges, functions = tables["edges"], tables["functions"]
+    ids = lambda t: t.select("id").distinct()
+    moved, _ = parts_of(last)
+    whole = "files" in fresh
+    read = staged((fresh["files"] if whole else fresh["units"]).select("projectFilePath").unionByName(moved).distinct(), "read")
+    own = staged(ids(fresh["functions"]), "own")
+    gone = G.few(staged(M.nodes_of_files(tables, read), "gone"))
+
+    # one pass over the edges: those that go, and what they and the calls that stay lead to
+    ends = edges.join(gone.select(F.col("id").alias("fromNodeId"), F.lit(True).alias("out")), "fromNodeId", "left").join(gone.select(F.col("id").alias("toNodeId"), F.lit(True).alias("into")), "toNodeId", "left").where("out or into")
+    call = F.col("relationshipType") == schema.CALLS
+    stays = call & F.col("out").isNull()
+    ends = staged(ends.select(F.when(~stays, F.col("id")).alias("id"), F.when(call, F.col("toNodeId")).alias("target"), stays.alias("stays"), F.col("into").isNotNull().alias("inner")).distinct(), "ends")
+    gone_edges = ends.where("id is not null").select("id")
+    held = ends.where("stays").select(F.col("target").alias("id"))  # still called by other files
+    left = ends.where("not stays and target is not null and not inner").select(F.col("target").alias("id")).distinct()
+
     old_points = tables["endpoints"].join(gone, "id", "left_anti")
-    points = staged(fresh["endpoints"].dropDuplicates(["id"]).join(ids(old_points), "id", "left_anti"), "points")
-    every = old_points.select("id", "direction", "matchIdentity").unionByName(points.select("id", "direction", "matchIdentity"))
-    near = every.join(points.select("matchIdentity").distinct(), "matchIdentity", "left_semi")
+    points = fresh["endpoints"].dropDuplicates(["id"])
+    points = staged(points.join(ids(old_points.join(G.few(ids(points)), "id", "left_semi")), "id", "left_anti"), "points")
+    near = points.select("id", "direction", "matchIdentity").unionByName(old_points.join(G.few(points.select("matchIdentity").distinct()), "matchIdentity", "left_semi").select("id", "direction", "matchIdentity"))
     matches = M.edge_rows(G.endpoint_matches(near).withColumn("relationshipType", F.lit(schema.MATCHES)))
-    new_edges = staged(missing(structure.unionByName(matches), G.EDGE_KEY).select(*schema.EDGES.names).unionByName(missing(made, ["id"]).select(*schema.EDGES.names)), "new-edges")
-
-    own = ids(fresh["functions"])
-    called = G.call_ids(new_edges).join(own, "id", "left_anti")
-    unknown = called.join(ids(functions.join(gone, "id", "left_anti")), "id", "left_anti")
-    ghosts = G.placeholder_rows(held.join(own, "id", "left_anti").unionByName(unknown).distinct())
-    new_functions = fresh["functions"].dropDuplicates(["id"]).unionByName(ghosts.select(*schema.FUNCTIONS.names))
+    new_edges = staged(fresh["edges"].select(*schema.EDGES.names).unionByName(matches.select(*schema.EDGES.names)).dropDuplicates(["id"]), "new-edges")
+
+    called = G.call_ids(new_edges)
+    wanted = G.few(staged(held.unionByName(called).distinct().join(own, "id", "left_anti"), "wanted"))
+    there = functions.join(wanted, "id", "left_semi").join(gone, "id", "left_anti").select("id")
+    ghosts = G.placeholder_rows(wanted.join(there, "id", "left_anti"))
+    # placeholders that lost their last call
+    lonely = staged(functions.where("isPlaceholder").join(G.few(left), "id", "left_semi").select("id").join(called, "id", "left_anti"), "lonely")
+    if not lonely.isEmpty():
+        mine = G.few(lonely.select(F.col("id").alias("toNodeId")))
+        still = G.edges_of(edges, schema.CALLS).join(mine, "toNodeId", "left_semi").join(gone.select(F.col("id").alias("fromNodeId")), "fromNodeId", "left_anti")
+        lonely = lonely.join(still.select(F.col("toNodeId").alias("id")).distinct(), "id", "left_anti")
+    new_functions = staged(fresh["functions"].dropDuplicates(["id"]).unionByName(ghosts.select(*schema.FUNCTIONS.names)), "new-functions")
     fresh_units = fresh["units"].dropDuplicates(["id"])
-    return {
-        "packages": (ids(fresh["packages"]), fresh["packages"].dropDuplicates(["id"])),
+    out = {
         "units": (gone.unionByName(ids(fresh_units)).distinct(), fresh_units),
-        "functions": (gone.unionByName(ids(new_functions)).distinct(), new_functions),
+        "functions": (gone.unionByName(ids(new_functions)).unionByName(lonely).distinct(), new_functions),
         "endpoints": (gone, points),
-        "edges": (gone_edges, new_edges),
+        "edges": (gone_edges.unionByName(ids(new_edges)).distinct(), new_edges),
+    }
+    if not whole:
+        return out | {"packages": (ids(fresh["packages"]), fresh["packages"].dropDuplicates(["id"]))}
+
+    from ..operators import extract as X
+
+    files = tables["files"]
+    before = files.join(G.few(read), "projectFilePath", "left_semi")
+    names = staged(before.select("package").unionByName(fresh["files"].select("package")).where("package is not null").distinct(), "packages")
+    others = files.join(G.few(names), "package", "left_semi").join(read, "projectFilePath", "left_anti")
+    packages = X.packages(others.unionByName(fresh["files"].select(*files.columns)).join(names, "package", "left_semi"))
+    extra = fresh["packages"].join(names.withColumnRenamed("package", "id"), "id", "left_anti")  # of processors and enrichers
+    packages = packages.unionByName(extra.select(*packages.columns))
+    deleted = last.where("action = 'delete'").select("projectFilePath")
+    shapes = tables["shapes"].join(G.few(read), "projectFilePath", "left_semi").join(ids(fresh["shapes"]), "id", "left_anti")
+    kept = shapes.join(deleted, "projectFilePath", "left_semi").withColumn("projectFilePath", F.lit(None).cast("string"))
+    paths = read.select(F.col("projectFilePath").alias("id"))
+    return out | {
+        "packages": (names.select(F.col("package").alias("id")).unionByName(ids(extra)), packages),
+        "shapes": (ids(shapes).unionByName(ids(fresh["shapes"])), fresh["shapes"].unionByName(kept.select(*fresh["shapes"].columns))),
+        "files": (paths, fresh["files"]),
+        "unresolved": (paths, fresh["unresolved"]),
     }
 
 
 def merge(tables: dict[str, DataFrame], deltas: dict[str, Delta]) -> dict[str, DataFrame]:
     """The tables after a batch."""
-    return {k: t.join(deltas[k][0], "id", "left_anti").select(*t.columns).unionByName(deltas[k][1].select(*t.columns)) for k, t in tables.items()}
+    return {k: t if k not in deltas else t.join(deltas[k][0], "id", "left_anti").select(*t.columns).unionByName(deltas[k][1].select(*t.columns)) for k, t in tables.items()}
 
 
 def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, sources: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, DataFrame]:
