@@ -12,7 +12,7 @@ from . import schema
 from .operators import extract as X
 from .operators import facts
 from .operators import graph as G
-from .operators.staging import all_staged, in_memory, local, scratch, small, staged
+from .operators.staging import all_staged, in_memory, local, scratch, small, staged, together, values
 from .operators.store import GraphStore
 from .sources import config as C
 from .sources import requests as Q
@@ -72,8 +72,8 @@ class Engine:
         world = None
         if stored is not None:
             ids = parsed.select("package", F.explode("shapes.name").alias("name")).select(F.concat_ws(".", "package", "name").alias("id"))
-            others = stored["shapes"].join(G.few(files.select("projectFilePath").distinct()), "projectFilePath", "left_anti").join(G.few(ids.distinct()), "id", "left_anti")
-            world = X.R.World(others.select(*schema.SHAPES.names), in_memory())
+            others = G.without(G.without(stored["shapes"], "projectFilePath", files.select("projectFilePath")), "id", ids)
+            world = X.R.World(others, in_memory())
         return (*X.front(parsed, self.symbols, world), world)
 
     def _tables(self, known: DataFrame, shapes: DataFrame, world) -> dict[str, DataFrame]:
@@ -108,7 +108,7 @@ class Engine:
         sources = self.sources()
         if most is None:
             return sources.join(files, "projectFilePath", "left_semi")
-        paths = [r.projectFilePath for r in files.collect()]
+        paths = values(files)
         if len(paths) > most:
             return None
         some = sources.where(F.col("projectFilePath").isin(paths))
@@ -118,43 +118,45 @@ class Engine:
     def _plan(self, last: DataFrame, most: int | None = None) -> dict | None:
         """What the batch does to each table; most: files that a small batch may read, None is returned beyond."""
         stored = self.store.read_all() if self.store.versions() else None
-        files = last.where("action <> 'delete'").select("projectFilePath")
+        files = staged(last.where("action <> 'delete'").select("projectFilePath"), "files")
         texts = self._sources(files, most)
         if texts is None:
             return None
         parsed = staged(self.parse(texts), "facts")
         while True:
-            affected = files.unionByName(last.select("projectFilePath")).distinct()
+            affected = staged(files.unionByName(last.select("projectFilePath")).distinct(), "affected")
             known, shapes, world = self._front(parsed, stored, files)
             if stored is None:
                 break
             more = self._dependents(stored, files, affected, shapes)
-            if more.isEmpty():
+            if more is None:
                 break
-            texts = self._sources(more, most if most is None else most - files.count())
+            texts = self._sources(more, most if most is None else most - len(values(files)))
             if texts is None:
                 return None
             parsed, files = parsed.unionByName(staged(self.parse(texts), "facts")), staged(files.unionByName(more).distinct(), "files")
         fresh = all_staged(self._tables(known, shapes, world), "fresh")
         return I.replace_files(stored or self.store.read_all(), last, fresh)
 
-    def _dependents(self, stored: dict, files: DataFrame, affected: DataFrame, shapes: DataFrame) -> DataFrame:
-        """(projectFilePath): files besides the affected ones that use what changed, or whose functions share an endpoint with a file read again."""
-        read = G.few(affected)
-        before = stored["shapes"].join(G.few(files), "projectFilePath", "left_semi")
-        changed = staged(I.touched(before.select(*schema.SHAPES.names), shapes), "touched")
-        found = []
-        if not changed.isEmpty():
-            found.append(I.users(changed, stored["shapes"], stored["files"]))
-        points = staged(stored["endpoints"].join(read, "projectFilePath", "left_semi").select("id"), "old-points")
-        if not points.isEmpty():
+    def _dependents(self, stored: dict, files: DataFrame, affected: DataFrame, shapes: DataFrame) -> DataFrame | None:
+        """(projectFilePath): files besides the affected ones that use what changed, or whose functions share an endpoint with a file read again; None without any."""
+        def by_type() -> DataFrame | None:
+            changed = staged(I.touched(G.only(stored["shapes"], "projectFilePath", files), shapes), "touched")
+            return None if changed.isEmpty() else I.users(changed, stored["shapes"], stored["files"])
+
+        def by_endpoint() -> DataFrame | None:
+            points = staged(G.only(stored["endpoints"], "projectFilePath", affected).select("id"), "old-points")
+            if points.isEmpty():
+                return None
             by = G.edges_of(stored["edges"], "ENDPOINT_TO_FUNCTION", "FUNCTION_TO_ENDPOINT")
-            ends = [by.join(G.few(points.select(F.col("id").alias(a))), a, "left_semi").select(F.col(b).alias("id")) for a, b in (("fromNodeId", "toNodeId"), ("toNodeId", "fromNodeId"))]
-            linked = G.few(staged(ends[0].unionByName(ends[1]).distinct(), "linked"))
-            found.append(stored["functions"].join(linked, "id", "left_semi").select("projectFilePath"))
+            ends = [G.only(by, a, points).select(F.col(b).alias("id")) for a, b in (("fromNodeId", "toNodeId"), ("toNodeId", "fromNodeId"))]
+            return G.only(stored["functions"], "id", staged(ends[0].unionByName(ends[1]).distinct(), "linked")).select("projectFilePath")
+
+        found = [x for x in together([by_type, by_endpoint]) if x is not None]
         if not found:
-            return affected.where("false")
-        return staged(reduce(DataFrame.unionByName, found).distinct().join(affected, "projectFilePath", "left_anti").where("projectFilePath is not null"), "dependents")
+            return None
+        more = staged(reduce(DataFrame.unionByName, found).distinct().join(affected, "projectFilePath", "left_anti").where("projectFilePath is not null"), "dependents")
+        return None if more.isEmpty() else more
 
     def request(self, method: str, body: dict) -> dict:
         """A PUT (changed) or DELETE (deleted) of one file, answered like the service: code, message, data."""

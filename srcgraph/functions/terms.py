@@ -14,7 +14,7 @@ from .tracer import Tracer
 
 #: Primitive types that widen to the right.
 NUMBERS = ("byte", "short", "char", "int", "long", "float", "double")
-STRING, NULL, LAMBDA, CLASS = "java.lang.String", "<null>", "<lambda>", "java.lang.Class"
+STRING, NULL, LAMBDA, CLASS = "java.lang.String", "(null)", "(lambda)", "java.lang.Class"
 STATIC_IMPORTS = 100
 NAME = re.compile(r"[^\W\d][\w$]*(?:\.[^\W\d][\w$]*)*")
 TEXT = ("java.lang.String", "String")

@@ -6,7 +6,9 @@ field is the cartesian product, combined fields and the build's templates are co
 
 from __future__ import annotations
 
+import json
 import re
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,18 +126,19 @@ def field_values(config: dict, node_type: str) -> Column:
     return F.filter(F.array(one), lambda v: v.isNotNull())
 
 
-def apply_rule(rule: dict, candidates: DataFrame, node_type: str, strict: bool = False) -> DataFrame | None:
-    """Endpoint rows of one rule, or none if it builds nothing."""
+@cache
+def compiled(text: str, node_type: str, strict: bool):
+    """A rule's (JSON) condition, fields and columns, or None if it builds nothing. Columns name what they read, so they serve every batch of a session."""
+    rule = json.loads(text)
     build = R.build_of(rule)
     if build is None:
         return None
-    where = [condition(w, strict) for w in rule["locate"].get("where") or []]
-    rows = candidates.where(S.scope_matches(F.coalesce("package", F.lit("")), S.basename("projectFilePath"), rule["scope"])).where(S.all_of(where))
-    values: dict[str, Column] = {}
+    where = S.scope_matches(F.coalesce("package", F.lit("")), S.basename("projectFilePath"), rule["scope"]) & S.all_of([condition(w, strict) for w in rule["locate"].get("where") or []])
+    fields, values = {}, {}
     for name, config in rule["extract"].items():
         if config.get("combine") is None:
             # an absent field leaves the other combinations
-            rows = rows.withColumn(f"v_{name}", F.explode_outer(F.array_distinct(field_values(config, node_type))))
+            fields[f"v_{name}"] = F.explode_outer(F.array_distinct(field_values(config, node_type)))
             values[name] = F.col(f"v_{name}")
     for name, config in rule["extract"].items():
         if config.get("combine") is not None:
@@ -148,17 +151,29 @@ def apply_rule(rule: dict, candidates: DataFrame, node_type: str, strict: bool =
     columns["brokerType"] = S.broker_type(of("endpointType"))
     columns["command"] = values.get("command", null())
     columns["dbOperation"] = F.coalesce(values.get("dbOperation", null()), values.get("operation", null()))
-    out = rows.select("projectFilePath", "gitRepoUrl", "gitBranch", "startLine", "endLine", "functionId", *[v.alias(k) for k, v in columns.items()], S.segment_normalize(F.coalesce("c.segments", F.array().cast("array<struct<value:string,literal:boolean>>"))).alias("segmented"), F.col("c.segments").isNotNull().alias("hasSegments"))
+    segments = [S.segment_normalize(F.coalesce("c.segments", F.array().cast("array<struct<value:string,literal:boolean>>"))).alias("segmented"), F.col("c.segments").isNotNull().alias("hasSegments")]
+    first = ["projectFilePath", "gitRepoUrl", "gitBranch", "startLine", "endLine", "functionId", *[v.alias(k) for k, v in columns.items()], *segments]
     kind = F.col("endpointType")
-    for k, own in schema.ENDPOINT_KINDS.items():
-        for c in own:
-            if c != "normalizedPath":
-                out = out.withColumn(c, F.when(kind == k, F.col(c)))
-    out = out.withColumn("normalizedPath", F.when(kind == "HTTP", S.normalize_arbitrate("path", F.when(F.col("hasSegments"), F.col("segmented")), "direction")))
+    own = {c: F.when(kind == k, F.col(c)) for k, some in schema.ENDPOINT_KINDS.items() for c in some if c != "normalizedPath"}
+    own["normalizedPath"] = F.when(kind == "HTTP", S.normalize_arbitrate("path", F.when(F.col("hasSegments"), F.col("segmented")), "direction"))
     key = F.when(kind == "HTTP", F.col("path")).when(kind == "MQ", F.col("topic")).when(kind == "REDIS", F.col("keyPattern")).when(kind == "DB", F.col("tableName"))
-    out = out.where(kind.isNotNull() & F.col("direction").isNotNull() & key.isNotNull())
-    out = out.withColumn("id", S.endpoint_id()).withColumn("matchIdentity", S.match_identity()).withColumn("name", F.col("matchIdentity"))
-    return out.drop("segmented", "hasSegments").withColumn("ruleOrder", F.lit(-rule["priority"]))
+    whole = kind.isNotNull() & F.col("direction").isNotNull() & key.isNotNull()
+    last = {"id": S.endpoint_id(), "matchIdentity": S.match_identity()}
+    return where, fields, first, own, whole, last, F.lit(-rule["priority"]).alias("ruleOrder")
+
+
+def apply_rule(rule: dict, candidates: DataFrame, node_type: str, strict: bool = False) -> DataFrame | None:
+    """Endpoint rows of one rule, or none if it builds nothing."""
+    parts = compiled(json.dumps(rule), node_type, strict)
+    if parts is None:
+        return None
+    where, fields, first, own, whole, last, order = parts
+    rows = candidates.where(where)
+    for name, values in fields.items():
+        rows = rows.withColumn(name, values)
+    out = rows.select(*first).withColumns({k: v for k, v in own.items() if k != "normalizedPath"}).withColumn("normalizedPath", own["normalizedPath"]).where(whole)
+    out = out.withColumns(last).withColumn("name", F.col("matchIdentity"))
+    return out.select(*[c for c in out.columns if c not in ("segmented", "hasSegments")], order)
 
 
 def extract(typed: DataFrame, method: DataFrame, rules: list[dict], strict: bool = False) -> DataFrame:

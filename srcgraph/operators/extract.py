@@ -11,7 +11,7 @@ from ..functions import scalars as S
 from . import facts as A
 from . import mutate as M
 from . import resolve as R
-from .staging import staged
+from .staging import staged, together
 
 
 def shaped(rows: DataFrame, table) -> DataFrame:
@@ -156,9 +156,11 @@ def tables(known: DataFrame, shapes: DataFrame, world: R.World | None = None, ru
     typed = types(known)
     method = staged(methods(typed), "methods")
     unit, function = units(typed), functions(method)
-    sites = R.resolve_sites(method, shapes, world, symbols)
+    sites, points = together([
+        lambda: R.resolve_sites(method, shapes, world, symbols),
+        lambda: staged(E.extract(typed, method, list(rules) if endpoints else [], strict), "endpoints"),
+    ])
     edges = structure(unit, method).unionByName(calls(targets(sites), whitelist, filters))
-    points = staged(E.extract(typed, method, list(rules) if endpoints else [], strict), "endpoints")
     links = E.links(points, function)
     nodes = shaped(E.distinct(points), schema.ENDPOINTS)
     out = {"packages": packages(known), "units": unit, "functions": function, "endpoints": nodes, "edges": edges.unionByName(M.edge_rows(links))}

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from .. import schema
 from ..functions import scalars as S
-from .staging import in_memory
+from .staging import in_memory, values
 
 
 def nodes_by_file(nodes: DataFrame, path: str) -> DataFrame:
@@ -37,6 +37,24 @@ def few(side: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(side) if in_memory() or is_few(side, most) else side
 
 
+#: Literals of a filter, at most; more are a join.
+LITERALS = 20_000
+
+
+def only(rows: DataFrame, key: str, side: DataFrame) -> DataFrame:
+    """Rows whose key is in the only column of side: a filter that reaches the scan in a small batch, else a join with a counted side."""
+    if in_memory() and len(some := values(side)) <= LITERALS:
+        return rows.where(F.col(key).isin(some))
+    return rows.join(few(side.toDF(key).distinct()), key, "left_semi").select(*rows.columns)
+
+
+def without(rows: DataFrame, key: str, side: DataFrame) -> DataFrame:
+    """Rows whose key is null or not in the only column of side."""
+    if in_memory() and len(some := values(side)) <= LITERALS:
+        return rows.where(F.col(key).isNull() | ~F.col(key).isin(some)) if some else rows
+    return rows.join(few(side.toDF(key).distinct()), key, "left_anti").select(*rows.columns)
+
+
 def callers(edges: DataFrame, functions: DataFrame, files: DataFrame | str) -> DataFrame:
     """(calleeFile, projectFilePath, gitRepoUrl, gitBranch), distinct: files with a call into the given file or files (projectFilePath).
 

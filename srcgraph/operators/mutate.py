@@ -53,7 +53,7 @@ def nodes_of_files(tables: dict[str, DataFrame], files: DataFrame) -> DataFrame:
     """Ids of units, functions and endpoints of files (projectFilePath); packages stay with their other files."""
     out = None
     for name in ("units", "functions", "endpoints"):
-        part = tables[name].join(files.select("projectFilePath").distinct(), "projectFilePath", "left_semi").select("id")
+        part = G.only(tables[name], "projectFilePath", files.select("projectFilePath")).select("id")
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 

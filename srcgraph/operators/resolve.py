@@ -14,7 +14,7 @@ from .. import schema
 from ..functions.terms import CLASS, LAMBDA, NULL, STRING
 from . import facts as A
 from . import graph as G
-from .staging import staged
+from .staging import staged, values
 
 OBJECT = "java.lang.Object"
 #: Type variables of a type, at most.
@@ -134,19 +134,15 @@ class World:
         """At least the shapes of ids (one column) and of their ancestors."""
         if not self.few:
             return self.rows
-        wanted = self._distinct(ids)
+        wanted = values(ids)
         first = staged(self.rows.where(F.col("id").isin(wanted)), "world")
-        above = [x for x in self._distinct(first.select(F.explode("ancestors.name"))) if x not in set(wanted)]
+        above = [x for x in values(first.select(F.explode("ancestors.name"))) if x not in set(wanted)]
         return first.unionByName(staged(self.rows.where(F.col("id").isin(above)), "world-above")) if above else first
 
     def named(self, simple: DataFrame) -> DataFrame:
         """At least the ids of the types with a simple name (one column), as (id)."""
         rows = self.rows.select("id")
-        return rows if not self.few else staged(rows.where(F.substring_index("id", ".", -1).isin(self._distinct(simple))), "world-named")
-
-    @staticmethod
-    def _distinct(one: DataFrame) -> list[str]:
-        return sorted({r[0] for r in one.distinct().collect() if r[0] is not None})
+        return rows if not self.few else staged(rows.where(F.substring_index("id", ".", -1).isin(values(simple))), "world-named")
 
 
 def members_of(shapes: DataFrame, symbols: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -251,7 +247,8 @@ def _level(s: DataFrame, own: DataFrame, world: World | None, symbols: DataFrame
     s = s.withColumn("owners", F.expr(f"transform(if(hasReceiver, array(struct(0 AS rank, ownerType AS type)), scopes), o -> struct(o.rank, {head('o.type')} AS owner, {type_arguments('o.type')} AS ownArgs))"))
     shapes = own
     if world is not None:
-        asked = s.selectExpr("explode(concat(owners.owner, argHeads)) AS id")
+        # what the batch's own types inherit is asked for as well
+        asked = s.selectExpr("explode(concat(owners.owner, argHeads)) AS id").unionByName(own.selectExpr("explode(ancestors.name) AS id"))
         shapes = own.unionByName(world.of(asked))
     up, members = members_of(shapes, symbols)
     # ancestors of the arguments that are types of the sources

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,7 +61,17 @@ _folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", d
 
 def local(df: DataFrame) -> DataFrame:
     """df collected, as one partition: plans over such alone need no shuffle."""
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema).coalesce(1)
+    held = df.toArrow()
+    out = df.sparkSession.createDataFrame(held, df.schema).coalesce(1)
+    out.held = held
+    return out
+
+
+def values(df: DataFrame) -> list:
+    """Distinct values of the only column of a small table, nulls left out."""
+    held = getattr(df, "held", None)
+    found = held.column(0).to_pylist() if held is not None else [r[0] for r in df.collect()]
+    return sorted({x for x in found if x is not None})
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -73,9 +84,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def together(tasks: list[Callable]) -> list:
-    """Run small jobs side by side: each is mostly waiting for the scheduler."""
-    with ThreadPoolExecutor(max(1, len(tasks))) as pool:
-        return [f.result() for f in [pool.submit(contextvars.copy_context().run, t) for t in tasks]]
+    """Run small jobs side by side: each is mostly waiting for the scheduler. Tasks of tasks run one after the other."""
+    if len(tasks) < 2 or _inside.get():
+        return [t() for t in tasks]
+
+    def run(task):
+        _inside.set(True)
+        return task()
+
+    return [f.result() for f in [_pool().submit(contextvars.copy_context().run, run, t) for t in tasks]]
+
+
+_inside: contextvars.ContextVar[bool] = contextvars.ContextVar("inside", default=False)
+
+
+@cache
+def _pool() -> ThreadPoolExecutor:
+    """Kept, since each thread has its own connection to the JVM."""
+    return ThreadPoolExecutor(16, thread_name_prefix="srcgraph")
 
 
 def all_staged(tables: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:

@@ -24,6 +24,28 @@ class Version(dict):
     __getattr__ = dict.__getitem__
 
 
+class Tables(dict):
+    """Tables by name, each read when it is asked for."""
+
+    def __init__(self, names, read):
+        super().__init__(dict.fromkeys(names))
+        self._read = read
+
+    def __getitem__(self, name):
+        if super().__getitem__(name) is None:
+            self[name] = self._read(name)
+        return super().__getitem__(name)
+
+    def items(self):
+        return [(k, self[k]) for k in self]
+
+    def values(self):
+        return [self[k] for k in self]
+
+    def __or__(self, other):
+        return dict(self.items()) | other
+
+
 class GraphStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -67,7 +89,8 @@ class GraphStore:
 
     def _rows(self, rows: DataFrame, table: str, at: str) -> None:
         out = rows.select(*[F.col(f.name).cast(f.dataType) for f in ALL[table]]).write
-        (out.partitionBy("relationshipType") if table == "edges" else out).parquet(f"{self.root}/{at}/{table}")
+        # the base's edges are parted by type; deltas are read together, so theirs are not
+        (out.partitionBy("relationshipType") if table == "edges" and at.startswith("base") else out).parquet(f"{self.root}/{at}/{table}")
 
     def read(self) -> dict[str, DataFrame]:
         """The current tables; empty ones before the first write."""
@@ -79,22 +102,24 @@ class GraphStore:
 
     def _read(self, tables) -> dict[str, DataFrame]:
         versions = self.versions()
-        if not versions:
-            return {k: self.spark.createDataFrame([], s) for k, s in tables.items()}
-        return {k: self._table(k, s, versions) for k, s in tables.items()}
+        return Tables(tables, lambda k: self._table(k, tables[k], versions) if versions else self.spark.createDataFrame([], tables[k]))
 
     def _table(self, name: str, struct, versions: list) -> DataFrame:
-        of = lambda v: self.spark.read.schema(struct).parquet(f"{self.root}/{v.name}/{name}").select(*struct.names)
-        came = [v for v in versions if name in v.tables]
+        """The base, and all deltas in one scan; a row's version is that of its folder."""
+        here = lambda what, some: self.spark.read.schema(struct if what == name else "id string").parquet(*[f"{self.root}/{v.name}/{what}" for v in some])
+        base = [v for v in versions[:1] if name in v.tables]
+        came = [v for v in versions[1:] if name in v.tables]
         gone = [v for v in versions[1:] if f"{name}-gone" in v.tables]
-        if not came:
-            return self.spark.createDataFrame([], struct)
+        names = struct.names
         if not gone:
-            return reduce(DataFrame.unionByName, [of(v) for v in came])
-        rows = reduce(DataFrame.unionByName, [of(v).withColumn("__n", F.lit(v.n)) for v in came])
-        drops = [self.spark.read.schema("id string").parquet(f"{self.root}/{v.name}/{name}-gone").withColumn("__gone", F.lit(v.n)) for v in gone]
-        last = reduce(DataFrame.unionByName, drops).groupBy("id").agg(F.max("__gone").alias("__gone"))
-        return rows.join(last, "id", "left").where("__gone is null or __n >= __gone").select(*struct.names)
+            parts = [here(name, some).select(*names) for some in (base, came) if some]
+            return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], struct)
+        number = F.create_map(*[F.lit(x) for v in versions for x in (v.name, v.n)])
+        of = lambda df: df.withColumn("__n", F.try_element_at(number, F.regexp_extract("_metadata.file_path", r"((?:base|delta)-[0-9a-f]{32})", 1)))
+        rows = [here(name, base).select(*names, F.lit(versions[0].n).alias("__n"))] if base else []
+        rows += [of(here(name, came)).select(*names, "__n")] if came else []
+        last = of(here(f"{name}-gone", gone)).groupBy("id").agg(F.max("__n").alias("__gone"))
+        return reduce(DataFrame.unionByName, rows).join(last, "id", "left").where("__gone is null or __n >= __gone").select(*names)
 
     def write(self, tables: dict[str, DataFrame]) -> str:
         """A new base. Parts may be read from the versions before."""

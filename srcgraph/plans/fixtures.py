@@ -130,3 +130,40 @@ CONFIG = {
 }
 
 SYMBOLS = [("lib.inner.Log", "write", ["java.lang.String"], "void")]
+
+#: Types and one file of calls, for the choice of targets.
+TYPES = {
+    "C0": "package p; public class C0 { C0 foo() { return this; } public C0 own; protected C0 self; }",
+    "C1": "package p; public class C1 extends C0 { }",
+    "C2": "package p; public class C2 extends C1 { }",
+    "C3": "package p; public class C3 extends C2 { }",
+    "D": "package p; public class D extends C3 { }",
+    "U": "package q; public class U { public static void util() { } public static final p.C0 K = null; }",
+    "Box": "package p; public class Box<T> { T v; T get() { return v; } Box<T> next() { return this; } }",
+    "Color": "package p; public enum Color { RED, GREEN; public void paint() { } }",
+    "Outer": "package p; public class Outer { Inner make() { return null; } static class Inner { void deep() { } } }",
+    "B": """package p; import static q.U.util; import q.U;
+public class B extends C1 {
+ void lng(long x) { } void obj(Object o) { } void obj(Integer i) { } void va(String... s) { } void over(C0 a) { } void over(C2 a) { } void bx(Integer i) { } void one(String s) { } void one(C0 s) { }
+ void main(D d, B c, int i, B[] bs, Box<B> box) {
+  d.foo();
+  c.foo().foo().foo().foo().foo();
+  util();
+  c.va("a", "b");
+  c.lng(i);
+  c.obj(5);
+  c.obj("s");
+  bs[0].foo();
+  self.foo();
+  this.self.own.foo();
+  c.over(new C3());
+  c.over(new C1());
+  c.bx(i);
+  box.next().get().lng(3);
+  Color.RED.paint();
+  new Outer().make().deep();
+  U.K.foo();
+  c.nothing(); unknown.call(); c.one(null);
+ }
+}""",
+}

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import scalars as S
 from ..operators import endpoints as E
 from ..operators import extract as X
@@ -127,6 +132,63 @@ def calls(spark):
     return X.calls(X.call_targets(known, X.methods(X.types(known)))).select("fromNodeId", "toNodeId", "lineNumber", "callType")
 
 
+def resolved_sites(spark):
+    rows = spark.createDataFrame([(f"s/src/{n}.java", None, None, t) for n, t in D.TYPES.items()], "projectFilePath string, gitRepoUrl string, gitBranch string, content string")
+    known, shapes = X.front(staged(A.parse_sources(rows), "facts"))
+    return X.R.resolve_sites(staged(X.methods(X.types(known)), "methods"), shapes)
+
+
+CHOSEN = [
+    (5, "p.C0.foo()"), *[(6, "p.C0.foo()")] * 5, (7, "q.U.util()"), (8, f"p.B.va({T}[])"), (9, "p.B.lng(long)"), (10, "p.B.obj(java.lang.Integer)"), (11, "p.B.obj(java.lang.Object)"),
+    (12, "p.C0.foo()"), (13, "p.C0.foo()"), (14, "p.C0.foo()"), (15, "p.B.over(p.C2)"), (16, "p.B.over(p.C0)"), (17, "p.B.bx(java.lang.Integer)"), (18, "p.Box.next()"), (18, "p.Box.get()"), (18, "p.B.lng(long)"),
+    (19, "p.Color.paint()"), (20, "p.Outer.make()"), (20, "p.Outer.Inner.deep()"), (21, "p.C0.foo()"),
+]
+
+
+@query("calls_resolution", "line target", *CHOSEN)
+def calls_resolution(spark):
+    """Inheritance of any depth, chains, static imports, varargs, widening, boxing, arrays, inherited fields, overloads, generics, enums, nested types."""
+    return X.targets(resolved_sites(spark)).where("callerId like 'p.B.main(%'").select("line", F.col("targetId").alias("target"))
+
+
+@query("unresolved_calls", "line name reason", (22, "nothing", "member"), (22, "call", "receiver"), (22, "one", "several"))
+def unresolved_calls(spark):
+    """Sites without a target are rows with a reason."""
+    return X.unresolved(resolved_sites(spark)).where("callerId like 'p.B.main(%'").select(F.col("lineNumber").alias("line"), "name", "reason")
+
+
+BATCHES = {
+    "s/src/C.java": "package p; public class C { C foo() { return this; } protected C up; }",
+    "s/src/B.java": "package p; public class B extends C { }",
+    "s/src/A.java": "package p; class A { void m(B b) { b.foo(); b.up.foo(); } }",
+}
+
+
+@query(
+    "incremental_inherited", "step fromNodeId toNodeId lineNumber",
+    *[(k, "p.A.m(p.B)", "p.C.foo()", 1) for k in (1, 1, 2, 2, 3)], (3, "p.A.m(p.B)", "p.B.foo()", 1),
+)
+def incremental_inherited(spark):
+    """Calls after all files are added (1), after an unchanged file is modified (2), and after a type that others use gets an override (3)."""
+    from ..engine import Engine
+    from ..operators.staging import shared_dir
+
+    files = dict(BATCHES)
+    rows = lambda: spark.createDataFrame([(p, None, None, t) for p, t in files.items()], "projectFilePath string, gitRepoUrl string, gitBranch string, content string")
+    engine = Engine(spark, f"{shared_dir(spark)}/inherited-{uuid.uuid4().hex}", rows, endpoints=False)
+    seen = lambda k: staged(G.edges_of(engine.store.read()["edges"], "CALLS").select(F.lit(k).alias("step"), "fromNodeId", "toNodeId", "lineNumber"), "calls-seen")
+    known = {"eventId": F.col("projectFilePath"), "newProjectFilePath": F.col("projectFilePath"), "changeType": F.lit("SOURCE_ADDED"), "timestamp": F.current_timestamp()}
+    engine.apply(rows().select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.CHANGES]))
+    out = [seen(1)]
+    for path, text in (("s/src/A.java", files["s/src/A.java"]), ("s/src/B.java", "package p; public class B extends C { B foo() { return this; } }")):
+        files[path] = text
+        answer = engine.file_modified(path)
+        if answer["code"] != 200:
+            raise RuntimeError(answer["message"])
+        out.append(seen(len(out) + 1))
+    return reduce(DataFrame.unionByName, out)
+
+
 def structure(spark, kind):
     t = typed(spark)
     return X.structure(X.units(t), X.methods(t)).where(F.col("relationshipType") == kind).select("fromNodeId", "toNodeId")

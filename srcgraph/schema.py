@@ -68,12 +68,15 @@ EDGE_LABELS = {
 }
 STRUCTURE = ("PACKAGE_TO_UNIT", "UNIT_TO_FUNCTION", "ENDPOINT_TO_FUNCTION", "FUNCTION_TO_ENDPOINT")
 #: What later batches need to know of sources that they do not read again. A type of a deleted file stays, without its file.
-SHAPES = T.StructType.fromDDL(
-    "id string, projectFilePath string, kind string, supers array<string>, fields array<struct<name:string,type:string>>, "
-    "methods array<struct<name:string,params:array<string>,returns:string,erased:string,varargs:boolean>>, "
-    "ancestors array<struct<name:string,depth:int,args:array<string>>>"
-)
-FILES = T.StructType.fromDDL("id string, projectFilePath string, gitRepoUrl string, gitBranch string, package string, names array<string>, error string")
-UNRESOLVED = T.StructType.fromDDL("id string, callerId string, site int, name string, lineNumber int, ownerType string, reason string")
+def _list(*fields: tuple[str, T.DataType]) -> T.ArrayType:
+    return T.ArrayType(_struct(*fields))
+
+
+SHAPES = _struct(
+    ("id", S), ("projectFilePath", S), ("kind", S), ("supers", STRINGS), ("fields", _list(("name", S), ("type", S))),
+    ("methods", _list(("name", S), ("params", STRINGS), ("returns", S), ("erased", S), ("varargs", B))), ("ancestors", _list(("name", S), ("depth", I), ("args", STRINGS))),
+)
+FILES = _struct(("id", S), ("projectFilePath", S), ("gitRepoUrl", S), ("gitBranch", S), ("package", S), ("names", STRINGS), ("error", S))
+UNRESOLVED = _struct(("id", S), ("callerId", S), ("site", I), ("name", S), ("lineNumber", I), ("ownerType", S), ("reason", S))
 TABLES = {"packages": PACKAGES, "units": UNITS, "functions": FUNCTIONS, "endpoints": ENDPOINTS, "edges": EDGES}
 AUXILIARY = {"shapes": SHAPES, "files": FILES, "unresolved": UNRESOLVED}

@@ -16,7 +16,7 @@ from .. import schema
 from ..functions import scalars as S
 from ..operators import graph as G
 from ..operators import mutate as M
-from ..operators.staging import all_staged, staged
+from ..operators.staging import all_staged, in_memory, staged, together, values
 
 #: Change type -> action.
 ACTIONS = {"SOURCE_ADDED": "add", "SOURCE_MODIFIED": "modify", "SOURCE_DELETED": "delete", "CASCADE_UPDATE": "cascade"}
@@ -106,9 +106,9 @@ def touched(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def users(touched_ids: DataFrame, shapes: DataFrame, files: DataFrame) -> DataFrame:
     """(projectFilePath): files that use a touched type or one below it, by simple names."""
-    below = shapes.select("id", F.explode("ancestors.name").alias("up")).join(G.few(touched_ids.select(F.col("id").alias("up"))), "up", "left_semi")
-    names = touched_ids.select("id").unionByName(below.select("id")).select(F.substring_index("id", ".", -1).alias("name")).distinct()
-    return files.select("projectFilePath", F.explode("names").alias("name")).join(G.few(names), "name", "left_semi").select("projectFilePath").distinct()
+    below = G.only(shapes.select("id", F.explode("ancestors.name").alias("up")), "up", touched_ids)
+    names = staged(touched_ids.select("id").unionByName(below.select("id")).select(F.substring_index("id", ".", -1).alias("name")).distinct(), "touched-names")
+    return G.only(files.select("projectFilePath", F.explode("names").alias("name")), "name", names).select("projectFilePath").distinct()
 
 
 def replace_files(tables: dict[str, DataFrame], last: DataFrame, fresh: dict[str, DataFrame]) -> dict[str, Delta]:
@@ -122,62 +122,79 @@ def replace_files(tables: dict[str, DataFrame], last: DataFrame, fresh: dict[str
     ids = lambda t: t.select("id").distinct()
     moved, _ = parts_of(last)
     whole = "files" in fresh
-    read = staged((fresh["files"] if whole else fresh["units"]).select("projectFilePath").unionByName(moved).distinct(), "read")
-    own = staged(ids(fresh["functions"]), "own")
-    gone = G.few(staged(M.nodes_of_files(tables, read), "gone"))
-
-    # one pass over the edges: those that go, and what they and the calls that stay lead to
-    ends = edges.join(gone.select(F.col("id").alias("fromNodeId"), F.lit(True).alias("out")), "fromNodeId", "left").join(gone.select(F.col("id").alias("toNodeId"), F.lit(True).alias("into")), "toNodeId", "left").where("out or into")
+    read, own = together([
+        lambda: staged((fresh["files"] if whole else fresh["units"]).select("projectFilePath").unionByName(moved).distinct(), "read"),
+        lambda: staged(ids(fresh["functions"]), "own"),
+    ])
+    rest = lambda: _of_files(tables, last, fresh, read) if whole else {"packages": (ids(fresh["packages"]), fresh["packages"].dropDuplicates(["id"]))}
+    gone, rest = together([lambda: staged(M.nodes_of_files(tables, read), "gone"), rest])
     call = F.col("relationshipType") == schema.CALLS
-    stays = call & F.col("out").isNull()
-    ends = staged(ends.select(F.when(~stays, F.col("id")).alias("id"), F.when(call, F.col("toNodeId")).alias("target"), stays.alias("stays"), F.col("into").isNotNull().alias("inner")).distinct(), "ends")
+
+    def meetings() -> DataFrame:
+        """One pass over the edges: those that go, and what they and the calls that stay lead to."""
+        if in_memory() and len(some := values(gone)) <= G.LITERALS:
+            ends = edges.withColumn("out", F.col("fromNodeId").isin(some)).withColumn("into", F.col("toNodeId").isin(some))
+        else:
+            side = lambda end, flag: G.few(gone.select(F.col("id").alias(end), F.lit(True).alias(flag)))
+            ends = edges.join(side("fromNodeId", "out"), "fromNodeId", "left").join(side("toNodeId", "into"), "toNodeId", "left")
+        ends = ends.where("out or into").withColumn("stays", call & ~F.coalesce("out", F.lit(False)))
+        return staged(ends.select(F.expr("if(stays, null, id)").alias("id"), F.when(call, F.col("toNodeId")).alias("target"), "stays", F.coalesce("into", F.lit(False)).alias("inner")).distinct(), "ends")
+
+    def points_and_edges() -> tuple[DataFrame, DataFrame]:
+        old = G.without(tables["endpoints"], "id", gone)
+        points = fresh["endpoints"].dropDuplicates(["id"])
+        points = staged(points.join(ids(G.only(old, "id", points.select("id"))), "id", "left_anti"), "points")
+        near = points.select("id", "direction", "matchIdentity").unionByName(G.only(old, "matchIdentity", points.select("matchIdentity")).select("id", "direction", "matchIdentity"))
+        matches = M.edge_rows(G.endpoint_matches(near).withColumn("relationshipType", F.lit(schema.MATCHES)))
+        return points, staged(fresh["edges"].select(*schema.EDGES.names).unionByName(matches.select(*schema.EDGES.names)).dropDuplicates(["id"]), "new-edges")
+
+    ends, (points, new_edges) = together([meetings, points_and_edges])
     gone_edges = ends.where("id is not null").select("id")
     held = ends.where("stays").select(F.col("target").alias("id"))  # still called by other files
     left = ends.where("not stays and target is not null and not inner").select(F.col("target").alias("id")).distinct()
-
-    old_points = tables["endpoints"].join(gone, "id", "left_anti")
-    points = fresh["endpoints"].dropDuplicates(["id"])
-    points = staged(points.join(ids(old_points.join(G.few(ids(points)), "id", "left_semi")), "id", "left_anti"), "points")
-    near = points.select("id", "direction", "matchIdentity").unionByName(old_points.join(G.few(points.select("matchIdentity").distinct()), "matchIdentity", "left_semi").select("id", "direction", "matchIdentity"))
-    matches = M.edge_rows(G.endpoint_matches(near).withColumn("relationshipType", F.lit(schema.MATCHES)))
-    new_edges = staged(fresh["edges"].select(*schema.EDGES.names).unionByName(matches.select(*schema.EDGES.names)).dropDuplicates(["id"]), "new-edges")
-
     called = G.call_ids(new_edges)
-    wanted = G.few(staged(held.unionByName(called).distinct().join(own, "id", "left_anti"), "wanted"))
-    there = functions.join(wanted, "id", "left_semi").join(gone, "id", "left_anti").select("id")
-    ghosts = G.placeholder_rows(wanted.join(there, "id", "left_anti"))
-    # placeholders that lost their last call
-    lonely = staged(functions.where("isPlaceholder").join(G.few(left), "id", "left_semi").select("id").join(called, "id", "left_anti"), "lonely")
-    if not lonely.isEmpty():
-        mine = G.few(lonely.select(F.col("id").alias("toNodeId")))
-        still = G.edges_of(edges, schema.CALLS).join(mine, "toNodeId", "left_semi").join(gone.select(F.col("id").alias("fromNodeId")), "fromNodeId", "left_anti")
-        lonely = lonely.join(still.select(F.col("toNodeId").alias("id")).distinct(), "id", "left_anti")
-    new_functions = staged(fresh["functions"].dropDuplicates(["id"]).unionByName(ghosts.select(*schema.FUNCTIONS.names)), "new-functions")
+
+    def ghosts() -> DataFrame:
+        wanted = staged(held.unionByName(called).distinct().join(own, "id", "left_anti"), "wanted")
+        there = G.without(G.only(functions.select("id"), "id", wanted), "id", gone)
+        made = G.placeholder_rows(wanted.join(there, "id", "left_anti"))
+        return staged(fresh["functions"].dropDuplicates(["id"]).unionByName(made.select(*schema.FUNCTIONS.names)), "new-functions")
+
+    def lonely() -> DataFrame:
+        """Placeholders that lost their last call."""
+        some = staged(G.only(functions.where("isPlaceholder").select("id"), "id", left).join(called, "id", "left_anti"), "lonely")
+        if some.isEmpty():
+            return some
+        still = G.without(G.only(G.edges_of(edges, schema.CALLS).select("fromNodeId", "toNodeId"), "toNodeId", some), "fromNodeId", gone)
+        return some.join(still.select(F.col("toNodeId").alias("id")).distinct(), "id", "left_anti")
+
+    new_functions, lost = together([ghosts, lonely])
     fresh_units = fresh["units"].dropDuplicates(["id"])
-    out = {
+    return rest | {
         "units": (gone.unionByName(ids(fresh_units)).distinct(), fresh_units),
-        "functions": (gone.unionByName(ids(new_functions)).unionByName(lonely).distinct(), new_functions),
+        "functions": (gone.unionByName(ids(new_functions)).unionByName(lost).distinct(), new_functions),
         "endpoints": (gone, points),
         "edges": (gone_edges.unionByName(ids(new_edges)).distinct(), new_edges),
     }
-    if not whole:
-        return out | {"packages": (ids(fresh["packages"]), fresh["packages"].dropDuplicates(["id"]))}
 
+
+def _of_files(tables: dict[str, DataFrame], last: DataFrame, fresh: dict[str, DataFrame], read: DataFrame) -> dict[str, Delta]:
+    """Packages by the files that are left in them, and the auxiliary tables."""
     from ..operators import extract as X
 
+    ids = lambda t: t.select("id").distinct()
     files = tables["files"]
-    before = files.join(G.few(read), "projectFilePath", "left_semi")
+    before = G.only(files, "projectFilePath", read)
     names = staged(before.select("package").unionByName(fresh["files"].select("package")).where("package is not null").distinct(), "packages")
-    others = files.join(G.few(names), "package", "left_semi").join(read, "projectFilePath", "left_anti")
+    others = G.without(G.only(files, "package", names), "projectFilePath", read)
     packages = X.packages(others.unionByName(fresh["files"].select(*files.columns)).join(names, "package", "left_semi"))
-    extra = fresh["packages"].join(names.withColumnRenamed("package", "id"), "id", "left_anti")  # of processors and enrichers
-    packages = packages.unionByName(extra.select(*packages.columns))
+    extra = fresh["packages"].join(names.withColumnRenamed("package", "id"), "id", "left_anti")  # of processors
     deleted = last.where("action = 'delete'").select("projectFilePath")
-    shapes = tables["shapes"].join(G.few(read), "projectFilePath", "left_semi").join(ids(fresh["shapes"]), "id", "left_anti")
+    shapes = G.without(G.only(tables["shapes"], "projectFilePath", read), "id", fresh["shapes"].select("id"))
     kept = shapes.join(deleted, "projectFilePath", "left_semi").withColumn("projectFilePath", F.lit(None).cast("string"))
     paths = read.select(F.col("projectFilePath").alias("id"))
-    return out | {
-        "packages": (names.select(F.col("package").alias("id")).unionByName(ids(extra)), packages),
+    return {
+        "packages": (names.select(F.col("package").alias("id")).unionByName(ids(extra)), packages.unionByName(extra.select(*packages.columns))),
         "shapes": (ids(shapes).unionByName(ids(fresh["shapes"])), fresh["shapes"].unionByName(kept.select(*fresh["shapes"].columns))),
         "files": (paths, fresh["files"]),
         "unresolved": (paths, fresh["unresolved"]),
