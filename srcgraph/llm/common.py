@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests on one machine, one that goes with this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and all runs on one machine, as in tests, one that goes with this process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="srcgraph-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -46,6 +48,13 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def free_name(name: str, columns) -> str:
+    """name, or one like it that no column has."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -136,13 +145,39 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, flags: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans by prefix sums of a polynomial, position-free and mixed."""
-    n = len(buf)
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+#: Bytes that word_hashes takes at a time: its sums are eight times as wide.
+HASHED = 1 << 20
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int | None = None) -> np.ndarray:
+    """64-bit hashes of byte spans (ascending, apart) by prefix sums of a polynomial, position-free and mixed; memory is that of a block of bytes."""
+    block = block or HASHED
+    up, down = _powers(block + 1)
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = int(np.searchsorted(ends, a + block, "right"))
+        if j <= i:  # a word longer than a block
+            out[i] = _long_hash(buf[a : int(ends[i])], up, block)
+            i += 1
+            continue
+        part = buf[a : int(ends[j - 1])]
+        s, e = starts[i:j] - a, ends[i:j] - a
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
+        out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+        i = j
+    return mix64(out)
+
+
+def _long_hash(word: np.ndarray, up: np.ndarray, block: int) -> int:
+    h, scale, mask = 0, 1, (1 << 64) - 1
+    for k in range(0, len(word), block):
+        part = word[k : k + block]
+        h = (h + int(((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)]).sum()) * scale) & mask
+        scale = scale * int(up[block]) & mask
+    return (h + len(word)) & mask
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -171,16 +206,18 @@ def local_components(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | N
             label = up
 
 
-def components(edges: DataFrame, name: str = "components", most: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for all nodes of edges (u, v): alternating large-star and small-star steps.
 
     Each step groups edges by one end and links the others to the least; it ends when the edges
-    stop changing. Every step is written to the shared folder. Nodes' component is the smallest id.
+    stop changing, after about log(nodes) squared steps at most. Every step is written to the shared folder. Nodes' component is the smallest id.
+    A star's centre may be an end of a third of all edges: minima are taken on the map side first, and the joins' other side has one
+    row a node, so that a partition of such a centre is split by Spark where it is measured to be large.
     """
     both = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     e = staged(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    last = None
-    for i in range(most):
+    last, i = None, 0
+    while True:
         g = both(e)
         least = g.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = g.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -190,8 +227,6 @@ def components(edges: DataFrame, name: str = "components", most: int = 40) -> Da
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == last:
             break
-        last = tuple(now)
-    else:
-        raise RuntimeError(f"components: no end after {most} steps")
+        last, i = tuple(now), i + 1
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -7,14 +7,17 @@ Equal fingerprints are one class from the start, so copies never meet in pairs;
 a spanning forest of its links, not the links, so thousands of near copies stay linear.
 
 Cases: null or empty text has fingerprint 0 and is linked like any other; a null doc_id keeps its
-row and takes its class's component; repeated rows keep their rows; extra columns are ignored.
+row and takes its group's component; repeated rows keep their rows; long texts are hashed a block at a time; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -25,36 +28,61 @@ TILE_LEAST = 1024
 SEED = 42
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): one 64-bit SimHash per document, from XXH64 of its word shingles."""
+#: Bytes of a text that are split into words at a time.
+BLOCK = 1 << 20
+SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def words_in_blocks(raw: bytes):
+    """Lists of words, in order, of about BLOCK bytes of text each."""
+    at = 0
+    while at < len(raw):
+        cut = SPACE.search(raw, at + BLOCK) if at + BLOCK < len(raw) else None
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
+def fingerprint(raw: bytes, shingle: int) -> int:
+    """The SimHash of a lower-cased text; without a word 0."""
+    import xxhash
+
+    xx = xxhash.xxh64_intdigest
+    total, n, carry = np.zeros(64, np.int64), 0, []
+    for words in words_in_blocks(raw):
+        words = carry + words
+        if len(words) >= shingle:
+            s = b" ".join(words)
+            ends = np.append(np.flatnonzero(np.frombuffer(s, np.uint8) == 32), len(s))
+            at = [0, *(ends[:-1] + 1).tolist()]
+            h = np.fromiter((xx(s[a:b], SEED) for a, b in zip(at, ends[shingle - 1 :].tolist())), np.uint64, len(words) - shingle + 1)
+            for j in range(0, len(h), 1 << 14):
+                part = h[j : j + (1 << 14)].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+                total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int32)
+            n += len(h)
+            words = words[len(words) - shingle + 1 :]
+        carry = words
+    if not n:
+        return xx(b" ".join(carry), SEED) if carry else 0
+    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, keep: str | None = None) -> DataFrame:
+    """(doc_id, fp): one 64-bit SimHash per document, from XXH64 of its word shingles. keep: all columns, and fp under this name."""
     lower = C.LOWER_BYTES.tobytes()
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
-        xx = xxhash.xxh64_intdigest
         for batch in batches:
-            ids, texts, out = batch.column(0), batch.column(1), np.zeros(batch.num_rows, np.uint64)
-            for i, text in enumerate(texts):
-                words = (text.as_py() or "").encode().translate(lower).split()
-                if not words:
-                    continue
-                s = b" ".join(words)
-                if len(words) <= shingle:
-                    out[i] = xx(s, SEED)
-                    continue
-                ends = np.append(np.flatnonzero(np.frombuffer(s, np.uint8) == 32), len(s))
-                at = [0, *(ends[:-1] + 1).tolist()]
-                h = np.fromiter((xx(s[a:b], SEED) for a, b in zip(at, ends[shingle - 1 :].tolist())), np.uint64, len(words) - shingle + 1)
-                total = np.zeros(64, np.int64)
-                for j in range(0, len(h), 1 << 14):
-                    part = h[j : j + (1 << 14)].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
-                    total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int32)
-                out[i] = np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            texts = batch.column("text").cast(pa.large_string())
+            out = np.array([fingerprint((t.as_py() or "").encode().translate(lower), shingle) for t in texts], np.uint64)
+            fp = pa.array(out.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, fp], [*batch.schema.names, keep]) if keep else pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], ["doc_id", "fp"])
 
     C.small_batches(docs.sparkSession)
+    if keep:
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(keep, T.LongType())]))
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -143,13 +171,20 @@ def tile_links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
     return rows.groupBy("pair").applyInArrow(compare, "u long, v long")
 
 
+def groups(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, group, component_id): fingerprints linked to each other, and the smallest doc_id among them."""
+    fp = C.staged(fingerprints(docs, shingle), "simhash-fp")
+    classes = C.staged(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    parts = C.components(tile_links(classes.select("fp", F.col("fp").alias("rep")), radius, tile), "simhash")
+    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    return fp, C.staged(named.join(least, "group").select("fp", "group", "component_id"), "simhash-groups")
+
+
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
-    fp = C.staged(fingerprints(docs, shingle), "simhash-fp")
-    classes = C.staged(fp.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    parts = C.components(tile_links(classes.where("rep is not null"), radius, tile), "simhash")
-    named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fp.join(named, "fp")
+    fp, named = groups(docs, radius, shingle, tile)
+    return fp.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +192,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component: the one with the smallest doc_id; rows without doc_id stay."""
-    kept = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """Keep one row of each group of near-duplicates: that of the smallest doc_id.
+
+    Rows that repeat a doc_id are rows like any other, so of equal ones a single one stays, that of the text that sorts first; a group without any
+    doc_id keeps one row too; texts without words are one group; an empty table gives no rows.
+    """
+    fp, named = groups(docs)
+    rows = C.staged(fp.join(named, "fp"), "simhash-rows")
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    plain = rows.where("doc_id = component_id").join(ids.where("n = 1 and doc_id is not null"), "doc_id", "left_semi").select("doc_id")
+    key = docs["doc_id"].cast("long")
+    kept = docs.join(plain.withColumnRenamed("doc_id", "__kept"), key == F.col("__kept"), "left_semi")
+    odd = C.staged(ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__odd")), "simhash-odd")
+    if odd.isEmpty():
+        return kept
+    own = C.free_name("__fp", docs.columns)
+    some = fingerprints(docs.join(odd, key.eqNullSafe(F.col("__odd")), "left_semi"), keep=own)
+    met = some.join(named.select(F.col("fp").alias(own), F.col("group").alias("__group"), F.col("component_id").alias("__id")), own).where(F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    best = met.groupBy("__group").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__row"))
+    return kept.unionByName(best.select("__row.*"))
