@@ -110,54 +110,86 @@ def candidates(words: np.ndarray, first: np.ndarray, k: int, index) -> set[tuple
     return found
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_shingles, containment): items of whose distinct shingles at least threshold stand in the document."""
-    spark = docs.sparkSession
-    C.small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def blocks_of(benchmark: DataFrame):
+    """Indexes of the items, block by block."""
     benchmark = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     n, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // ITEMS_A_BLOCK), -(-size // TEXT_A_BLOCK))
-    out = None
     for b in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        found = _scan(docs, index_items([(r.item_id, r.text) for r in part.collect()]), threshold)
+        yield index_items([(r.item_id, r.text) for r in part.collect()])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_shingles, containment): items of whose distinct shingles at least threshold stand in the document."""
+    C.small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = None
+    for built in blocks_of(benchmark):
+        found = _scan(docs, built, threshold)
         out = found if out is None else out.unionByName(found)
     return out.distinct().withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
+def hits(texts, built: dict, threshold: float):
+    """(row, item_id, n_shared, n_shingles) of an Arrow column of texts."""
+    items, index = built["items"], built["index"]
+    flags = C.class_table("alnum")
+    for rows, buf, offsets in C.text_blocks(texts, range(len(texts))):
+        low = C.LOWER_BYTES[buf]
+        s, e, first = C.word_spans(low, offsets, flags)
+        words = C.word_hashes(low, s, e)
+        near = set()
+        for k, part in index.items():
+            near |= candidates(words, first, k, part)
+        held, padded = None, b""
+        for d, j in sorted(near):
+            if d != held:
+                held = d
+                padded = b" " + b" ".join(buf[offsets[d] : offsets[d + 1]].tobytes().translate(WORDS).split()) + b" "
+            item_id, _, shingles = items[j]
+            got = sum(b" " + x + b" " in padded for x in shingles)
+            if got >= threshold * len(shingles) - 1e-9:
+                yield rows[d], item_id, got, len(shingles)
+
+
 def _scan(docs: DataFrame, built: dict, threshold: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(built)
 
     def run(batches):
         import pyarrow as pa
 
-        items, index = shared.value["items"], shared.value["index"]
-        flags = C.class_table("alnum")
         for batch in batches:
+            ids = batch.column(0).to_pylist()
             out: tuple[list, ...] = ([], [], [], [])
-            for ids, buf, offsets in C.text_blocks(batch.column(1), batch.column(0).to_pylist()):
-                low = C.LOWER_BYTES[buf]
-                s, e, first = C.word_spans(low, offsets, flags)
-                words = C.word_hashes(low, s, e)
-                near = set()
-                for k, part in index.items():
-                    near |= candidates(words, first, k, part)
-                held, padded = None, b""
-                for d, j in sorted(near):
-                    if d != held:
-                        held = d
-                        padded = b" " + b" ".join(buf[offsets[d] : offsets[d + 1]].tobytes().translate(WORDS).split()) + b" "
-                    item_id, _, shingles = items[j]
-                    got = sum(b" " + x + b" " in padded for x in shingles)
-                    if got >= threshold * len(shingles) - 1e-9:
-                        for column, x in zip(out, (ids[d], item_id, got, len(shingles))):
-                            column.append(x)
+            for row, *rest in hits(batch.column(1), shared.value, threshold):
+                for column, x in zip(out, (ids[row], *rest)):
+                    column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "item_id", "n_shared", "n_shingles"])
 
     return docs.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_shingles long")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs whose text holds no item: a filter in one pass over the texts, which all blocks of items share."""
+    C.small_batches(docs.sparkSession)
+    out = docs
+    for built in blocks_of(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(built)
+
+        def clean(batches, shared=shared):
+            import pyarrow as pa
+
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for row, *_ in hits(batch.column("text"), shared.value, threshold):
+                    keep[row] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
@@ -177,6 +209,9 @@ GROUP BY x.doc_id, q.item_id HAVING count(*) >= 0.8 * any_value(s.n) - 1e-9
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = C.staged(leaks(docs, C.table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti")
+    """Rows whose text holds a benchmark item go.
+
+    Each row is judged by its own text, so rows without doc_id and rows that repeat one are judged like any other; null and empty texts
+    hold nothing and stay; an empty table gives no rows.
+    """
+    return without_leaks(docs, C.table(spark, sf_dir, "benchmark"))

@@ -237,8 +237,8 @@ def squashed(strength: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(strength[:, :11]), np.minimum(strength[:, 11] * 100, 5)])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score) of every document; labels (doc_id, toxic) are read outside the held-out fold."""
+def fitted(docs: DataFrame, labels: DataFrame):
+    """A function (parts, first) -> scores of documents, and broadcasts it needs; None where there is nothing to learn from."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = labels.where(X.fold(FOLDS) != HELD_OUT).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -258,7 +258,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     votes = C.staged(tokenized(docs, vote, "doc_id long, pattern int"), "toxicity-votes")
     counts = sorted((r.pattern, r.n) for r in votes.groupBy("pattern").agg(F.count("*").alias("n")).collect())  # 2 ** VOTERS rows at most
     if not counts:
-        return votes.select("doc_id", F.lit(0.0).alias("score"))
+        return None
     model = LabelModel(np.array([p for p, _ in counts]), np.array([n for _, n in counts]))
     posterior = {p: float(x) for (p, _), x in zip(counts, model.posterior)}
     likely = [p for p, x in posterior.items() if x >= 0.5]
@@ -276,13 +276,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     taken = tokenized(X.only(docs, ids), rows, "doc_id long, buckets binary, strengths binary, pattern int")
     data = sorted(((r.doc_id, bytes(r.buckets), bytes(r.strengths), r.pattern) for r in taken.toLocalIterator()))
     if not data:
-        return votes.select("doc_id", F.lit(0.0).alias("score"))
-    fitted = train_linear([(np.frombuffer(b, "<i4"), np.frombuffer(s)) for _, b, s, _ in data], np.array([posterior[p] for *_, p in data]))
-    weights = spark.sparkContext.broadcast(fitted)
-
-    def score(ids, parts, first):
-        import pyarrow as pa
+        return None
+    weights = spark.sparkContext.broadcast(train_linear([(np.frombuffer(b, "<i4"), np.frombuffer(s)) for _, b, s, _ in data], np.array([posterior[p] for *_, p in data])))
 
+    def score(parts, first):
         w, own, bias = weights.value
         n = np.diff(first)
         doc = np.repeat(np.arange(len(n)), n)
@@ -290,10 +287,40 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         keys = np.unique(np.concatenate([doc * BUCKETS + b for b in buckets(parts)]))
         at = keys // BUCKETS
         z = np.bincount(at, w[keys % BUCKETS], len(n)) / np.sqrt(np.maximum(1, np.bincount(at, minlength=len(n))))
-        z = z + squashed(shared.value.strengths(parts, first)) @ own + bias
-        return pa.RecordBatch.from_arrays([ids, pa.array(X.logistic(z))], ["doc_id", "score"])
+        return X.logistic(z + squashed(shared.value.strengths(parts, first)) @ own + bias)
+
+    return score
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, score) of every document; labels (doc_id, toxic) are read outside the held-out fold."""
+    score = fitted(docs, labels)
+    if score is None:
+        return docs.select(F.col("doc_id").cast("long"), F.lit(0.0).alias("score"))
+
+    def run(ids, parts, first):
+        import pyarrow as pa
 
-    return tokenized(docs, score, "doc_id long, score double")
+        return pa.RecordBatch.from_arrays([ids, pa.array(score(parts, first))], ["doc_id", "score"])
+
+    return tokenized(docs, run, "doc_id long, score double")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of docs that score under THRESHOLD: a filter in one pass over the texts."""
+    score = fitted(docs, labels)
+    if score is None:
+        return docs
+
+    def clean(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [score(*X.tokens(buf, offsets)) < THRESHOLD for _, buf, offsets in C.text_blocks(batch.column("text"), range(batch.num_rows))]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    C.small_batches(docs.sparkSession)
+    return docs.mapInArrow(clean, docs.schema)
 
 
 THRESHOLD = 0.3
@@ -305,7 +332,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored toxic go."""
-    scores = toxicity_scores(docs, C.table(spark, sf_dir, "labels"))
-    toxic = C.staged(scores.where(F.col("score") >= THRESHOLD).select("doc_id").distinct(), "toxic")
-    return docs.join(toxic, "doc_id", "left_anti")
+    """Rows scored toxic go.
+
+    Each row is scored by its own text, so rows without doc_id and rows that repeat one are judged like any other; null and empty
+    texts have the score of the bias and stay; an empty table gives no rows.
+    """
+    return without_toxic(docs, C.table(spark, sf_dir, "labels"))
