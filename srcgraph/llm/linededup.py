@@ -147,6 +147,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, confirme
     spark = docs.sparkSession
     C.small_batches(spark)
     docs = docs.drop("n_lines", "n_dropped")
+    drop = C.free_name("__drop", docs.columns)
     confirmed = repeated_lines(docs, min_chars, min_docs)
     n = confirmed.count()
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -156,6 +157,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, confirme
         source = docs
     else:  # too many to hand out: each document gets its own, by joins
         table = None
+        id_, sha_, own_ = (C.free_name(x, docs.columns) for x in ("__id", "__sha", "__own"))
 
         def own(batches):
             import pyarrow as pa
@@ -173,9 +175,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, confirme
         sha = F.when(F.col("doc_id").isNull(), F.sha2(F.col("text").cast("string"), 256))
         holds = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), sha.alias("sha")).mapInArrow(own, "doc_id long, sha string, digest binary")
         lost = holds.join(confirmed, "digest").where("doc_id is null or doc_id < keep")
-        drops = lost.groupBy(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).agg(F.collect_set("digest").alias("__drop"))
-        source = docs.withColumn("__own", sha)
-        source = source.join(drops, source["doc_id"].cast("long").eqNullSafe(drops["__id"]) & source["__own"].eqNullSafe(drops["__sha"]), "left").drop("__id", "__sha", "__own")
+        drops = lost.groupBy(F.col("doc_id").alias(id_), F.col("sha").alias(sha_)).agg(F.collect_set("digest").alias(drop))
+        source = docs.withColumn(own_, sha)
+        source = source.join(drops, source["doc_id"].cast("long").eqNullSafe(drops[id_]) & source[own_].eqNullSafe(drops[sha_]), "left").drop(id_, sha_, own_)
 
     def clean(batches):
         import pyarrow as pa
@@ -185,8 +187,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, confirme
             names = batch.schema.names
             gone = None
             if table is None:
-                gone = batch.column(names.index("__drop"))
-                batch = batch.select([x for x in names if x != "__drop"])
+                gone = batch.column(names.index(drop))
+                batch = batch.select([x for x in names if x != drop])
             keep = table.value if table is not None else {}
             at = batch.schema.names.index("text")
             ids, texts, n_lines, n_dropped = batch.column("doc_id").to_pylist(), [], [], []
@@ -233,6 +235,10 @@ FROM marked GROUP BY doc_id
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from the texts; n_chars follows."""
+    """Repeated lines go from the texts; n_chars follows where there is such a column.
+
+    Every row stays: null and empty texts are one empty line and stay as they are; rows without doc_id never keep a repeated line; rows that
+    repeat a doc_id are one document and are cleaned alike; an empty table gives no rows.
+    """
     out = line_dedup(docs).drop("n_lines", "n_dropped")
     return out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
