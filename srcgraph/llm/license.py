@@ -10,7 +10,7 @@ diagonal with a vote of every run of the phrase.
 All DataFrame expressions; the templates are a constant table of a few hundred rows and broadcast.
 
 Cases: null or empty text has no words, no places, no labels and score 0; repeated rows with one doc_id and text give
-equal rows; null doc_ids stay; other columns are ignored; an empty table gives no rows.
+equal rows; null doc_ids stay; gaps of any length are read in one pass; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -70,21 +70,25 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and spans: verified (label, first, last, cover)."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = F.split(F.regexp_replace("text", f"^{GAPS}|{GAPS}$", ""), GAPS)
-    d = d.select("doc_id", F.xxhash64("text").alias("th"), F.when(F.length("text") > 0, words).alias("w0"))
-    d = d.select("doc_id", "th", F.when(F.get("w0", F.lit(0)) != "", F.col("w0")).otherwise(F.array().cast("array<string>")).alias("w"))
+    # a gap at either end leaves an empty part there
+    inner = lambda w: F.slice(w, F.when(F.get(w, F.lit(0)) == "", 2).otherwise(1), F.greatest(F.size(w) - F.when(F.get(w, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(w) > 1) & (F.get(w, F.size(w) - 1) == ""), 1).otherwise(0), F.lit(0)))
+    d = d.select("doc_id", F.xxhash64("text").alias("th"), let(F.split("text", GAPS, -1), inner).alias("w"))
     runs = let(
         F.transform("w", lambda w: F.xxhash64(F.lower(w))),
-        lambda h: F.when(F.size(h) >= K, F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(K)]))),
+        # the first stands for the text itself, with no hash; F.when alone would leave short texts without it
+        lambda h: F.concat(F.array(F.lit(None).cast("long")), F.when(F.size(h) >= K, F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(K)]))).otherwise(F.array().cast("array<long>"))),
     )
     # the outer form: for the inner one the optimizer adds a filter that computes the runs a second time
-    rolling = d.select("doc_id", "th", "w", runs.alias("runs")).select("doc_id", "th", "w", F.posexplode_outer("runs").alias("i", "h"))
-    t = F.broadcast(templates(spark))
-    met = rolling.join(t, "h").withColumn("own", C.ascii_lower(F.array_join(F.slice("w", F.col("i") + 1, K), " ")))
-    # equality as two prefixes: an equality would become a join key, computed for every run
-    met = met.where(F.startswith("own", "run") & F.startswith("run", "own"))
-    votes = met.select("doc_id", "th", "template", "label", "is_phrase", "length", "runs", "p", "i").distinct()
-    votes = C.staged(votes, "license-votes")
+    rolling = d.select("doc_id", "th", "w", runs.alias("runs")).select("doc_id", "th", "w", F.posexplode_outer("runs").alias("at", "h"))
+    t = F.broadcast(templates(spark).withColumnRenamed("runs", "n_runs"))
+    # one pass over the texts: what matches, and a row a text with its number of words
+    met = rolling.join(t, "h", "left").where((F.col("at") == 0) | F.col("template").isNotNull())
+    own = F.when(F.col("at") > 0, C.ascii_lower(F.array_join(F.slice("w", "at", K), " ")))
+    met = met.withColumn("own", own).where((F.col("at") == 0) | (F.col("own") == F.col("run")))
+    met = met.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), "at", "template", "label", "is_phrase", "length", F.col("n_runs").alias("runs"), "p", (F.col("at") - 1).alias("i"))
+    met = C.staged(met, "license-votes")
+    d = met.where("at = 0").select("doc_id", "th", "n_words")
+    votes = met.where("at > 0").drop("at", "n_words").distinct()
 
     key = ["doc_id", "th", "template"]
     about = [F.first(c).alias(c) for c in ("label", "is_phrase", "length", "runs")]
@@ -107,7 +111,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     found = found.alias("f").join(exact.alias("e"), F.col("f.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("f.th") == F.col("e.th")), "left").select("f.*", "n_base", "first_word", "last_word", "base")
 
     none = F.array().cast("array<string>")
-    out = d.select("doc_id", "th", F.size("w").cast("long").alias("n_words")).alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.th") == F.col("f.th")), "left")
+    out = d.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.th") == F.col("f.th")), "left")
     return out.select(
         "d.doc_id",
         "n_words",
