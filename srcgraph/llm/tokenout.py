@@ -82,6 +82,24 @@ class EliasFano:
         chunk = int.from_bytes(self.low[a >> 3 : (a + self.low_bits + 7) >> 3].tobytes(), "little") >> (a & 7)
         return (one - i) << self.low_bits | chunk & ((1 << self.low_bits) - 1)
 
+    def some(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1, as select gives them: from the sample before i, through the bitmap up to the sample after j."""
+        if i >= j:
+            return np.zeros(0, np.uint64)
+        base = i // SAMPLE * SAMPLE
+        at = int(self.samples[i // SAMPLE])
+        after = -(-j // SAMPLE)
+        end = (int(self.samples[after]) >> 3) + 1 if after < len(self.samples) else len(self.high)
+        bits = np.unpackbits(self.high[at >> 3 : end], bitorder="little")
+        bits[: at & 7] = 0
+        ones = np.flatnonzero(bits)[i - base : j - base] + (at >> 3 << 3)
+        out = (ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            a = i * self.low_bits
+            held = np.unpackbits(self.low[a >> 3 : (j * self.low_bits + 7) >> 3], bitorder="little")[a & 7 :][: (j - i) * self.low_bits].reshape(j - i, self.low_bits)
+            out |= (held.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        return out
+
     def decode(self) -> np.ndarray:
         """All values."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -162,7 +180,9 @@ def plain_words(spec: str) -> bool:
     if steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"]:
         return False
     letters = cuts[0]["invert"] and cuts[0]["behavior"] == "Removed" and "[\\p{L}]+" in cuts[0]["pattern"].get("Regex", "").split("|")
-    return bool(letters) and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+    # words are cut off added tokens only by this sign
+    marked = all("<|" in t["content"] for t in rules.get("added_tokens") or [])
+    return bool(letters) and marked and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
 
 
 def encoder(spec: str, end_id: int, width: int, by_word: bool):
@@ -227,6 +247,37 @@ def encoder(spec: str, end_id: int, width: int, by_word: bool):
     return words if by_word else whole
 
 
+def shard_cuts(docs: DataFrame, shard_bytes: int, least: int, fine: int = 1024) -> np.ndarray:
+    """doc_ids that end the shards: about shard_bytes of text each, and `least` of them at least. Ranges of equal numbers of documents are
+    measured, more of them the larger the table, and joined until they hold enough."""
+    n_docs = docs.agg(F.count("doc_id")).first()[0]
+    fine = max(fine, n_docs // 50_000)
+    edges = docs.agg(F.percentile_approx("doc_id", [i / fine for i in range(1, fine)], 20 * fine)).first()[0]
+    edges = np.unique(np.array(edges or [], np.int64))
+
+    def sums(batches):
+        import pyarrow as pa
+
+        total = np.zeros(len(edges) + 1, np.int64)
+        for batch in batches:
+            total += np.bincount(np.searchsorted(edges, batch.column(0).to_numpy()), batch.column(1).to_numpy(), len(total)).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["part", "size"])
+
+    sized = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).mapInArrow(sums, "part long, size long")
+    size = np.zeros(len(edges) + 1, np.int64)
+    for r in sized.groupBy("part").agg(F.sum("size").alias("size")).collect():  # a row a range
+        size[r.part] = r.size
+    most = min(shard_bytes, max(1, int(size.sum()) // least))
+    cuts, held = [], 0
+    for edge, n in zip(edges.tolist(), size.tolist()):
+        held += n
+        if held >= most:
+            cuts.append(edge)
+            held = 0
+    return np.array(cuts, np.int64)
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, by_word: bool = False, shard_bytes: int = SHARD_BYTES) -> list[dict]:
     """Write docs' ids below folder; returns the manifest: shards in order with path, n_docs, n_ids and start."""
     from tokenizers import Tokenizer
@@ -236,10 +287,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     spec = open(tokenizer_path, encoding="utf-8").read()
     width = 2 if max(Tokenizer.from_str(spec).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(spark.sparkContext.defaultParallelism, -(-size // shard_bytes))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    cuts = shard_cuts(docs, shard_bytes, spark.sparkContext.defaultParallelism)
     shared = spark.sparkContext.broadcast((spec, cuts))
 
     def encode(batches):
@@ -280,8 +328,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     return manifest
 
 
-def read_tokens(spark: SparkSession, manifest: list[dict], block: int = 1 << 20) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+def read_tokens(spark: SparkSession, manifest: list[dict], block: int = 1 << 20, some: int = 4096) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files: offsets and doc ids by select, `some` documents at a time, and
+    about `block` ids at a time, so that no table of a file's offsets is held."""
 
     def read(batches):
         import zlib
@@ -291,15 +340,18 @@ def read_tokens(spark: SparkSession, manifest: list[dict], block: int = 1 << 20)
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 f = TokenFile(path)
-                at = f.bounds.decode().astype(np.int64)
-                doc_ids = [None] * f.n_null + (f.ids_index.decode().astype(np.int64) + f.least).tolist()
-                i = 0
-                while i < len(f):
-                    j = max(i + 1, int(np.searchsorted(at, at[i] + block, "right")) - 1)
-                    ids, own = f.ids(int(at[i]), int(at[j])).astype("<u4"), at[i : j + 1] - at[i]
-                    crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(own[:-1].tolist(), own[1:].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i:j], pa.int64()), pa.array(start + at[i:j]), pa.array(np.diff(own)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                    i = j
+                for first in range(0, len(f), some):
+                    last = min(first + some, len(f))
+                    at = f.bounds.some(first, last + 1).astype(np.int64)
+                    null = max(0, min(last, f.n_null) - first)
+                    doc_ids = [None] * null + (f.ids_index.some(first + null - f.n_null, last - f.n_null).astype(np.int64) + f.least).tolist()
+                    i = 0
+                    while i < last - first:
+                        j = max(i + 1, int(np.searchsorted(at, at[i] + block, "right")) - 1)
+                        ids, own = f.ids(int(at[i]), int(at[j])).astype("<u4"), at[i : j + 1] - at[i]
+                        crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(own[:-1].tolist(), own[1:].tolist())]
+                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i:j], pa.int64()), pa.array(start + at[i:j]), pa.array(np.diff(own)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        i = j
 
     rows = [(m["path"], m["start"]) for m in manifest]
     files = spark.createDataFrame(rows, "path string, start long")
