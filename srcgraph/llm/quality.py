@@ -164,7 +164,8 @@ def estimates(x: DataFrame, support: float, least: int, steps: int, few: bool =
 
 
 def quality_rules(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUTOFF, least: int = LEAST, steps: int = STEPS, few_groups: int = FEW) -> DataFrame:
-    """base_counts with kept, and distance (null where the base rule alone judged)."""
+    """base_counts with kept, distance (null where the base rule alone judged) and estimate: what the row was held against, its source and
+    language, its language's small groups, the rest of small groups, or none (the base rule alone)."""
     counts = C.staged(base_counts(docs), "quality-counts")
     fit = counts.where("not base_failed")
     # by group, then by language over what small groups leave
@@ -179,13 +180,18 @@ def quality_rules(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUT
     )
     keys = C.staged(keys, "quality-groups")
     few = keys.count() <= few_groups
-    hand = F.broadcast if few else lambda t: t
-    placed = counts.join(hand(keys), counts["lang"].eqNullSafe(F.col("k_lang")) & counts["source"].eqNullSafe(F.col("k_source")), "left").drop("k_lang", "k_source")
+    # beyond, both joins on groups are salted too: a group may hold a third of all rows
+    salts = 1 if few else SALTS
+    hand = lambda t: F.broadcast(t) if few else t.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = counts if few else counts.withColumn("salt", F.pmod(F.xxhash64("doc_id", *STATS), F.lit(salts)).cast("int"))
+    same = F.lit(True) if few else F.col("salt") == F.col("__salt")
+    placed = counts.join(hand(keys), counts["lang"].eqNullSafe(F.col("k_lang")) & counts["source"].eqNullSafe(F.col("k_source")) & same, "left").drop("k_lang", "k_source", "__salt")
     fit = C.staged(placed.where("not base_failed").select("g", *STATS), "quality-fit")
     model = estimates(fit, support, least, steps, few)
-    judged = placed.join(hand(model), "g", "left").withColumn("distance", F.when(~F.col("base_failed"), distance() / F.greatest(F.col("scale"), F.lit(1.0))))
+    judged = placed.join(hand(model.withColumnRenamed("g", "own")), (F.col("g") == F.col("own")) & same, "left").withColumn("distance", F.when(~F.col("base_failed"), distance() / F.greatest(F.col("scale"), F.lit(1.0))))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square(cutoff, len(STATS)), F.lit(True))
-    return judged.withColumn("kept", kept).select("doc_id", "n_words", *BASE, "base_failed", "kept", "distance")
+    level = F.when(F.col("base_failed") | F.col("own").isNull(), "none").when(F.col("g") == "\x02", "rest").when(F.instr("g", "\x1f") > 0, "source").otherwise("language")
+    return judged.withColumn("kept", kept).withColumn("estimate", level).select("doc_id", "n_words", *BASE, "base_failed", "kept", "distance", "estimate")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
