@@ -23,7 +23,7 @@ ODD = [
     (10, "idiot idiot scum you moron", "en", "a", 1),
 ]
 #: Columns of inner names, of other types.
-EXTRA = ("n_words", "key", "g", "kept", "fp", "rep", "score", "start", "length", "cluster", "shard", "n", "digest", "pattern", "words", "row", "p", "c", "i", "h", "w", "distance")
+EXTRA = ("n_words", "key", "g", "kept", "fp", "rep", "score", "start", "length", "cluster", "shard", "n", "digest", "pattern", "words", "row", "p", "c", "i", "h", "w", "distance", "__drop", "__id", "__salt", "__own", "__fp", "k_lang", "n_lines", "n_dropped", "salt", "own", "group")
 
 
 def odd(spark, rows=ODD, extra=True):
@@ -116,6 +116,24 @@ def test_stages_on_odd_rows(spark, sf, k):
     assert stage(spark, odd(spark, []), sf).collect() == []
 
 
+def test_stages_judge_rows_without_id(spark, tmp_path):
+    """A toxic row, one with a benchmark item and one with a repeated line go or lose it, whatever their doc_id."""
+    from srcgraph.llm import toxicity as X
+
+    bad = "you stupid idiot shut up you worthless moron and scum go die "
+    rows = [(i, f"{bad * 3} {i}") for i in range(40)] + [(100 + i, f"calm words about rivers and hills number {i} in the morning light") for i in range(200)] + [(None, bad * 3), (None, "calm words about rivers")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, 0, 1) for i in range(40)] + [(100 + i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    left = X.without_toxic(docs, known).where("doc_id is null").collect()
+    assert [r.text for r in left] == ["calm words about rivers"]
+    scores = {(r.doc_id, round(r.score, 9)) for r in X.toxicity_scores(docs, known).collect()}
+    assert {r.doc_id for r in X.without_toxic(docs, known).collect()} - {None} == {i for i, x in scores if i is not None and x < X.THRESHOLD}
+    item = "same words in this very text here"
+    held = spark.createDataFrame([(None, f"before {item} after"), (None, "clean"), (1, item), (1, "clean too"), (2, None)], "doc_id long, text string")
+    clean = decontam.without_leaks(held, bench(spark)).collect()
+    assert sorted(str(r.text) for r in clean) == ["None", "clean", "clean too"]
+
+
 def test_pipeline_runs(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     kept = {r.doc_id for r in out.collect()}

@@ -94,7 +94,28 @@ def plain_best_fit(pieces, capacity, per_source):
 @given(st.lists(st.tuples(st.integers(1, 10), st.integers(0, 2), st.integers(0, 5)), max_size=40), st.integers(1, 2))
 def test_best_fit_is_tightest(pieces, per_source):
     pieces.sort(key=lambda p: -p[0])
-    assert packing.best_fit(pieces, 10, per_source) == plain_best_fit(pieces, 10, per_source)
+    for hot in (0, 2, packing.HOT):
+        assert packing.best_fit(pieces, 10, per_source, hot) == plain_best_fit(pieces, 10, per_source)
+
+
+def test_a_hot_source_stays_fast():
+    import time
+
+    r = np.random.default_rng(0)
+    lengths = sorted(r.integers(10, 200, 50_000).tolist(), reverse=True)
+    at = time.perf_counter()
+    bins = packing.best_fit([(n, "one" if i % 3 else f"s{i}", i if i % 4 else 0) for i, n in enumerate(lengths)], 2048, 2)
+    assert time.perf_counter() - at < 30 and len(bins) == len(lengths)
+    assert len(packing.best_fit([(20, "one", i) for i in range(20_000)], 2048, 2)) == 20_000
+
+
+def test_near_duplicates_never_share_a_bin(spark):
+    docs = docs_of(spark, [f"text number {i}" for i in range(8)])
+    near = spark.createDataFrame([(i, 0 if i < 4 else i) for i in range(8)] + [(None, 3)], "doc_id long, cluster long")
+    got = packing.pack(docs, 100, 9, clusters=near).toPandas()
+    assert got[got.doc_id < 4].bin_id.nunique() == 4 and got.bin_id.nunique() == 4
+    filled = packing.fill(packing.pack(docs, 100, 9, clusters=near)).toPandas()
+    assert filled.tokens.sum() == 24
 
 
 @pytest.mark.parametrize("shard", [1500, 4_000_000])
@@ -372,6 +393,37 @@ def test_edited_passages_meet_in_the_middle(spark):
     assert union_find([(x.doc_id, x.peer_id) for x in got], range(n)) == union_find(pairs, range(n))
 
 
+def family(r, words, copies, changes, where):
+    """A passage and copies of it, each with some words changed in places of its own."""
+    base = [f"f{where}x{i}" for i in r.integers(0, 10**9, words)]
+    out = [base]
+    for k in range(copies):
+        held = list(base)
+        for j in r.choice(words, changes, replace=False):
+            held[j] = f"e{where}x{k}x{j}"
+        out.append(held)
+    return out
+
+
+@pytest.mark.parametrize("words, copies, changes, families", [(60, 24, 1, 6), (100, 24, 2, 8), (100, 5, 2, 8), (200, 60, 4, 1), (400, 24, 8, 2)])
+def test_families_of_edited_copies(spark, words, copies, changes, families):
+    """Links of an original that is not the least document with its copies, by membership."""
+    r = np.random.default_rng(words + copies)
+    filler = lambda n: [f"g{i}" for i in r.integers(0, 10**9, n)]
+    held = []
+    for k in range(families):
+        some = family(r, words, copies, changes, k)
+        r.shuffle(some)
+        held += [(k, p) for p in some]
+    texts = [" ".join(filler(40) + p + filler(40)) for _, p in held]
+    got = passages.near_passages(docs_of(spark, texts).repartition(4)).collect()
+    grams = [{tuple(p[i : i + 5]) for i in range(len(p) - 4)} for _, p in held]
+    want = [(a, b) for a in range(len(held)) for b in range(a) if held[a][0] == held[b][0] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    group = union_find([(x.doc_id, x.peer_id) for x in got], range(len(held)))
+    assert want and sum(group[a] == group[b] for a, b in want) >= 0.9 * len(want)
+    assert all(held[x.doc_id][0] == held[x.peer_id][0] for x in got)
+
+
 # --- 7
 
 
@@ -408,6 +460,24 @@ def test_tiles_lose_no_link(seed, radius):
     assert got == {(i, j) for i in range(60) for j in range(60) if (int(a[i]) ^ int(b[j])).bit_count() <= radius}
 
 
+@pytest.mark.parametrize("block", [7, 64, 1 << 20])
+def test_hashes_in_blocks(block, monkeypatch):
+    text = ("some words and " + "a" * 300 + " long one\n\t more of them, und ünïcode ") * 5
+    buf = np.frombuffer(text.encode(), np.uint8)
+    s, e, _ = C.word_spans(buf, np.array([0, len(buf)]), C.class_table("space"))
+    assert (C.word_hashes(buf, s, e, block) == C.word_hashes(buf, s, e)).all()
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    assert simhash.fingerprint(text.lower().encode(), 4) == plain_simhash(text.lower())
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    text = "a text of some words that stands here more than once"
+    rows_ = [(1, text), (1, text), (2, text), (3, "another text altogether and quite unlike the one"), (3, "a third text that shares the number of the other one"), (None, "a text without any number at all and long enough"), (None, "a text without any number at all and long enough"), (None, text)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.stage(spark, docs, "").collect()), key=str)
+    assert got == sorted([rows_[0], rows_[3], rows_[4], rows_[5]], key=str)
+
+
 def test_simhash_stage_keeps_one_of_each_group(spark):
     docs = docs_of(spark, ["the same text of more than four words"] * 5 + ["another text altogether and quite unlike it"] + [None, ""])
     assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == [0, 5, 6]
@@ -435,6 +505,9 @@ def test_elias_fano(values):
     v = np.sort(np.array(values, np.uint64))
     e = tokenout.EliasFano.from_bytes(tokenout.EliasFano.of(v).to_bytes())
     assert (e.decode() == v).all() and [e.select(i) for i in range(len(v))] == v.tolist()
+    for i in range(0, len(v), 97):
+        for j in (i, i + 1, min(i + 300, len(v))):
+            assert e.some(i, j).tolist() == v[i:j].tolist()
 
 
 def test_elias_fano_is_small():
@@ -450,6 +523,14 @@ def test_token_file_by_document(tmp_path):
     assert [(f.doc_id(k), f.document(k).tolist()) for k in range(len(f))] == rows_
 
 
+def test_shards_hold_about_equal_bytes(spark):
+    """One document in a hundred is a hundred times as long as the rest, and they stand together."""
+    docs = spark.createDataFrame([(i, "x" * (10_000 if i < 20 else 100)) for i in range(2000)] + [(None, "y")], "doc_id long, text string")
+    cuts = tokenout.shard_cuts(docs, 20_000, 1)
+    size = np.bincount(np.searchsorted(cuts, np.arange(2000)), [10_000 if i < 20 else 100 for i in range(2000)])
+    assert size.max() <= 40_000 and size[:-1].min() >= 20_000
+
+
 PIECES = st.lists(st.sampled_from(["the", "The", "a.", "A,", "can't", "é", "É", "J̌", "\x85", "\x1c", "…", "<|endoftext|>", "<|ENDOFTEXT|>", "ß", "İ", "中文", "...", "x9", " ", "\n", "\t", ""]), max_size=14)
 
 
@@ -489,6 +570,62 @@ def test_license_texts_with_changes(spark):
     assert got == [("mit", [("mit", 9)]), ("mit", [("mit", 0)]), ("", []), ("gpl-3", [("gpl-3", 0)]), ("", []), ("", [])]
 
 
+def plain_scan(text):
+    """All diagonals of all templates by comparing every word run with every position."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+    k, labels, best = license.K, set(), 0.0
+    for is_phrase, table in ((True, license.PHRASES), (False, license.NOTICES)):
+        for label, template in table.items():
+            t = template.split()
+            runs = len(t) - k + 1
+            diagonals = defaultdict(list)
+            for i in range(len(w) - k + 1):
+                for p in range(runs):
+                    if w[i : i + k] == t[p : p + k]:
+                        diagonals[i - p].append((i, p))
+            merged, last = [], None
+            for d in sorted(diagonals):
+                if last is None or d - last > license.MERGE:
+                    merged.append([])
+                merged[-1].append(d)
+                last = d
+            for some in merged:
+                hits = [x for d in some for x in diagonals[d]]
+                first, end = min(i for i, _ in hits), max(i for i, _ in hits) + k - 1
+                whole = len({p for _, p in hits}) / runs if end - first + 1 <= license.STRETCH * len(t) else 0.0
+                cover = max(whole, min(1.0, max(len(diagonals[d]) for d in some) / runs))
+                best = max(best, cover)
+                if not is_phrase and cover >= (1.0 if len(t) < license.SHORT else license.COVER):
+                    labels.add(label)
+    return labels, best
+
+
+def test_license_scan_against_all_diagonals(spark):
+    r = np.random.default_rng(6)
+    texts = []
+    for template in [*license.NOTICES.values(), *license.PHRASES.values()]:
+        t = template.split()
+        for _ in range(6):
+            held = [x for x in t if r.random() > 0.06]
+            for j in np.flatnonzero(r.random(len(held)) < 0.06)[::-1]:
+                held.insert(j, "word")
+            texts.append(" ".join(["start"] * int(r.integers(0, 4)) + held + ["end", *t[: int(r.integers(0, len(t)))]]))
+    texts += [" ".join(r.permutation(sum((x.split() for x in license.NOTICES.values()), []))) for _ in range(5)]
+    for row in license.license_scan(docs_of(spark, texts)).collect():
+        labels, best = plain_scan(texts[row.doc_id])
+        base = {x for x in row.base_labels.split(",") if x}
+        assert set(row.labels.split(",")) - {""} == labels | base and abs(row.score - best) < 1e-12, texts[row.doc_id]
+
+
+def test_license_gaps_of_any_length(spark):
+    import time
+
+    texts = ["under the mit" + " " * 1_000_000 + "license", "-" * 1_000_000, "|" + "-+" * 400_000 + "cc by nc" + " " * 300_000]
+    at = time.perf_counter()
+    got = [(r.n_words, r.n_base) for r in license.license_scan(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [(4, 1), (0, 0), (3, 1)] and time.perf_counter() - at < 60
+
+
 # --- 10
 
 
