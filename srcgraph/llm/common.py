@@ -35,10 +35,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
     at = fresh_path(df.sparkSession, name)
-    df.write.parquet(at)
+    df.write.option("compression", compression).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
