@@ -35,19 +35,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
-    at = fresh_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps, whose results are staged: it does so when the driver forgets their plans."""
-    import gc
 
-    gc.collect()
-    spark._jvm.System.gc()
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage and survives lost executors. The step's shuffle files go with it."""
+    spark, at = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
