@@ -142,15 +142,16 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> D
     return C.staged(exact.select("digest", "keep"), "line-dedup")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, confirmed_most: int = CONFIRMED_MOST) -> DataFrame:
-    """docs with repeated lines dropped from text, and n_lines and n_dropped (long)."""
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, confirmed_most: int = CONFIRMED_MOST, counts: bool = True) -> DataFrame:
+    """docs with repeated lines dropped from text, and n_lines and n_dropped (long); without counts just the columns of docs."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop("n_lines", "n_dropped") if counts else docs
     drop = C.free_name("__drop", docs.columns)
     confirmed = repeated_lines(docs, min_chars, min_docs)
     n = confirmed.count()
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    told = ["n_lines", "n_dropped"] if counts else []
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(x, T.LongType()) for x in told]])
     if n <= confirmed_most:
         keep = {bytes(r.digest): r.keep for r in confirmed.collect()}
         table = spark.sparkContext.broadcast(keep)
@@ -208,7 +209,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, confirme
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*batch.schema.names, "n_lines", "n_dropped"])
+            more = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())] if told else []
+            yield pa.RecordBatch.from_arrays([*columns, *more], [*batch.schema.names, *told])
 
     return source.mapInArrow(clean, schema)
 
@@ -240,5 +242,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row stays: null and empty texts are one empty line and stay as they are; rows without doc_id never keep a repeated line; rows that
     repeat a doc_id are one document and are cleaned alike; an empty table gives no rows.
     """
-    out = line_dedup(docs).drop("n_lines", "n_dropped")
+    out = line_dedup(docs, counts=False)
     return out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -201,13 +201,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = C.staged(fp.join(named, "fp"), "simhash-rows")
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
     plain = rows.where("doc_id = component_id").join(ids.where("n = 1 and doc_id is not null"), "doc_id", "left_semi").select("doc_id")
-    key = docs["doc_id"].cast("long")
-    kept = docs.join(plain.withColumnRenamed("doc_id", "__kept"), key == F.col("__kept"), "left_semi")
-    odd = C.staged(ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__odd")), "simhash-odd")
+    id_, odd_, fp_, group_, row_ = (C.free_name(x, docs.columns) for x in ("__id", "__odd", "__fp", "__group", "__row"))
+    key = F.col("doc_id").cast("long")
+    kept = docs.join(plain.withColumnRenamed("doc_id", id_), key == F.col(id_), "left_semi")
+    odd = C.staged(ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias(odd_)), "simhash-odd")
     if odd.isEmpty():
         return kept
-    own = C.free_name("__fp", docs.columns)
-    some = fingerprints(docs.join(odd, key.eqNullSafe(F.col("__odd")), "left_semi"), keep=own)
-    met = some.join(named.select(F.col("fp").alias(own), F.col("group").alias("__group"), F.col("component_id").alias("__id")), own).where(F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    best = met.groupBy("__group").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__row"))
-    return kept.unionByName(best.select("__row.*"))
+    some = fingerprints(docs.join(odd, key.eqNullSafe(F.col(odd_)), "left_semi"), keep=fp_)
+    met = some.join(named.select(F.col("fp").alias(fp_), F.col("group").alias(group_), F.col("component_id").alias(id_)), fp_).where(key.eqNullSafe(F.col(id_)))
+    best = met.groupBy(group_).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(row_))
+    return kept.unionByName(best.select(f"{row_}.*"))
