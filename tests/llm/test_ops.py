@@ -424,6 +424,50 @@ def test_families_of_edited_copies(spark, words, copies, changes, families):
     assert all(held[x.doc_id][0] == held[x.peer_id][0] for x in got)
 
 
+@pytest.mark.parametrize("direct", [passages.DIRECT, 2])
+def test_links_that_no_representative_shows(spark, monkeypatch, direct):
+    """Texts of one origin that are unlike each other and unlike the origin, each with a near copy: all pairs of a key meet, be it by their flanks."""
+    monkeypatch.setattr(passages, "DIRECT", direct)
+    r = np.random.default_rng(31)
+    filler = lambda n: [f"h{i}" for i in r.integers(0, 10**9, n)]
+    base = filler(90)
+    held = []
+    for k in range(240):
+        one = list(base)
+        for j in r.choice(90, 4, replace=False):
+            one[j] = f"k{k}x{j}"
+        near = list(one)
+        near[int(r.integers(90))] = f"n{k}"
+        held += [one, near]
+    r.shuffle(held)
+    texts = [" ".join(filler(40) + p + filler(40)) for p in held]
+    got = passages.near_passages(docs_of(spark, texts).repartition(4)).collect()
+    grams = [{tuple(p[i : i + 5]) for i in range(len(p) - 4)} for p in held]
+    want = [(a, b) for a in range(len(held)) for b in range(a) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    group = union_find([(x.doc_id, x.peer_id) for x in got], range(len(held)))
+    assert len(want) >= 50 and sum(group[a] == group[b] for a, b in want) >= 0.98 * len(want)
+
+
+def test_open_pairs_are_all_pairs(monkeypatch):
+    """All windows of a key that differ in label and document meet once, whatever is made at a time."""
+    monkeypatch.setattr(passages, "BLOCK", 7)
+    r = np.random.default_rng(8)
+    key, label, doc, c = (r.integers(0, n, 80) for n in (3, 6, 9, 1000))
+    rows = set(zip(key.tolist(), label.tolist(), doc.tolist(), c.tolist()))
+    key, label, doc, c = (np.array(x) for x in zip(*rows))
+    want = {(a[0], *max(x, y), *min(x, y)) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and a[2] != b[2] for x, y in [(a[2:], b[2:])]}
+    got = [x for part in passages.opened(key, doc, c, c, label) for x in zip(*(v.tolist() for v in (part[0], part[1], part[2], part[4], part[5])))]
+    assert set(got) == want
+
+
+def test_runs_keep_their_ends():
+    key, doc = np.ones(6, np.uint64), np.zeros(6, np.int64)
+    c = np.array([10, 12, 14, 16, 18, 40])
+    extent = (np.array([3, 1, 1, 1, 1, 9]) << 32) | 50
+    key, doc, c, extent = passages.inner_gone(key, doc, c, extent)
+    assert c.tolist() == [10, 18, 40] and (extent >> 32).tolist() == [3, 11, 9]
+
+
 # --- 7
 
 
