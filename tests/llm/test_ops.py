@@ -460,6 +460,42 @@ def test_open_pairs_are_all_pairs(monkeypatch):
     assert set(got) == want
 
 
+def test_copies_of_a_label_meet_once():
+    key, doc, c, label, copy = (np.array(x) for x in ([1] * 5, [1, 2, 3, 4, 5], [7] * 5, [9, 9, 9, 8, 6], [50, 50, 51, 52, 50]))
+    got = {(int(a), int(b)) for part in passages.opened(key, doc, c, c, label, copy) for a, b in zip(part[1], part[4])}
+    assert got == {(4, 1), (5, 1), (4, 3), (5, 3), (5, 4)}
+
+
+def test_flanks_against_all_pairs(monkeypatch):
+    r = np.random.default_rng(4)
+    least, n = 46, 120
+    reach = len(passages.flank_columns(least))
+    beside = np.where(r.random((n, 2 * reach)) < 0.3, r.integers(1, 900, (n, 2 * reach)), 0).astype(np.uint32)
+    key, label, doc, c = r.integers(0, 3, n), r.integers(0, 30, n), r.integers(0, 60, n), np.arange(n)
+    core = [set(x[11:23].tolist()) - {0} for half in (beside[:, :reach], beside[:, reach:]) for x in half]
+    every = [set(x.tolist()) - {0} for half in (beside[:, :reach], beside[:, reach:]) for x in half]
+    near = lambda i, j: any(core[i + k] & every[j + k] or core[j + k] & every[i + k] for k in (0, n))
+    want = {frozenset((i, j)) for i in range(n) for j in range(i) if key[i] == key[j] and label[i] != label[j] and doc[i] != doc[j] and near(i, j)}
+    got = [frozenset((int(a), int(b))) for part in passages.flanked(least)(key, doc, c, c, label, *np.ascontiguousarray(beside).view(np.int64).T) for a, b in zip(part[2], part[5])]
+    assert want and set(got) == want and len(got) == len(want)
+
+
+def test_spans_are_deleted(spark):
+    """The texts of the spans, more than all else that is written, go with the step."""
+    from pathlib import Path
+
+    r = np.random.default_rng(3)
+    word = lambda n: " ".join(f"z{i}" for i in r.integers(0, 10**9, n))
+    passage = word(80)
+    docs = docs_of(spark, [f"{word(20)} {passage} {word(20)}" for _ in range(3)]).select("doc_id", "text")
+    found = spark.createDataFrame([(k, 0, 128, 0, 0, 128) for k in (1, 2)], "doc long, s long, e long, peer long, ps long, pe long")
+    at = Path(C.shared_dir(spark).removeprefix("file://"))
+    before = set(at.glob("passage-spans-*"))
+    got = passages.verified(docs, found, 46, 0.8, 2).collect()
+    assert sorted((x.doc_id, x.peer_id, x.start_word, x.end_word) for x in got) == [(1, 0, 20, 100), (2, 0, 20, 100)]
+    assert set(at.glob("passage-spans-*")) == before
+
+
 def test_runs_keep_their_ends():
     key, doc = np.ones(6, np.uint64), np.zeros(6, np.int64)
     c = np.array([10, 12, 14, 16, 18, 40])
